@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import packing, tokenizer
+from docspark.llm import packing, tokenizer, truncation
 from docspark.plans.lineage import Cuts
 from docspark.sources.tables import table
 
@@ -33,5 +33,19 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.groupBy(F.floor(F.col("n") * 10 / capacity).cast("int").alias("tenths")).agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p9_fill)}
+def _truncated(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents"), "doc_id", "text", "lang", "source")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncated(spark, folder).where("cut").select("doc_id")
+
+
+def p10_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates, of its texts that aren't null, empty or blank."""
+    by = _truncated(spark, folder).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("truncated"))
+    return by.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 4))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
 SQL: dict[str, str] = {}
