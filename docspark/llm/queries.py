@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import packing, tokenizer, truncation
+from docspark.llm import lookalike, packing, splitting, tokenizer, truncation
 from docspark.plans.lineage import Cuts
-from docspark.sources.tables import table
+from docspark.sources.tables import earliest, table
 
 
 def _capacity(spark: SparkSession, folder: str) -> int:
@@ -47,5 +47,56 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 4))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
-SQL: dict[str, str] = {}
+def _oversized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Elements and chunks over their limits, of each key the earliest row. Contents are fetched for these alone."""
+    limits = F.broadcast(table(spark, folder, "size_limits").where("use_for = 'split'").select(F.col("item_type").alias("type"), F.col("capacity").alias("most"), F.col("overlap").alias("shared")))  # one row for each type
+    rows = table(spark, folder, "elements").select("element_id", "recorded_at", "type", F.length("content").alias("n"), "content")
+    first = earliest(rows.drop("content"), "element_id", ["recorded_at", "type", "n"]).join(limits, "type").where("n > most")
+    elements = rows.join(limits.select("type", "most"), "type").where("n > most").drop("most").join(first, ["element_id", "recorded_at", "type", "n"]).dropDuplicates(["element_id"])
+    rows = table(spark, folder, "chunks").select("chunk_id", "recorded_at", F.col("metadata.max_chars").alias("own_limit"), F.length("text").alias("n"), "text", "source_spans")
+    over = F.col("n") > F.coalesce("own_limit", "usual")
+    first = earliest(rows.drop("text", "source_spans"), "chunk_id", ["recorded_at", "n", "own_limit"]).withColumn("type", F.lit("chunk")).join(limits.withColumnRenamed("most", "usual"), "type", "left").where(over).withColumn("most", F.coalesce("own_limit", "usual"))
+    chunks = rows.drop("own_limit").join(first.select("chunk_id", "recorded_at", "n", "most", "shared"), ["chunk_id", "recorded_at", "n"]).dropDuplicates(["chunk_id"])
+    return elements, chunks
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    elements, chunks = _oversized(spark, folder)
+    spans = "array<struct<element_id:string,start:int,end:int>>"
+    own = splitting.split_items(elements, "content", "most", "shared", ["element_id"]).withColumn("source_spans", splitting.own_span("element_id").cast(spans))
+    parts = splitting.split_items(chunks, "text", "most", "shared", ["chunk_id", "n", "source_spans"]).withColumn("source_spans", splitting.mapped_spans("source_spans", "n", "chunk_id").cast(spans))
+    columns = ["piece", F.col("start").alias("start"), F.col("end").alias("end"), "text", "boundary", "source_spans"]
+    return own.select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), *columns).unionByName(parts.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), *columns))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece = 1").select("item_kind", "item_id")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    elements = table(spark, folder, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("id"), "recorded_at", F.col("content").alias("text"))
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("id"), "recorded_at", "text")
+    rows = lookalike.looks(elements.unionByName(chunks), ["item_kind", "id", "recorded_at"], "text")  # hashes are shuffled, texts aren't
+    first = rows.groupBy("item_kind", "id").agg(F.min(F.struct("recorded_at", "look", "stored")).alias("r")).select("item_kind", "id", "r.look", "r.stored").where("look is not null")
+    return lookalike.same_look(Cuts(spark).cut(first), "item_kind", "id")
+
+
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored row of elements and chunks in the consistent form."""
+    elements = table(spark, folder, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "recorded_at", F.col("content").alias("text"))
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "recorded_at", "text")
+    return lookalike.consistent(elements.unionByName(chunks), ["item_kind", "item_id", "recorded_at"], "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
+SQL = {
+    "p3_found": """WITH l AS (SELECT item_type, capacity FROM size_limits WHERE use_for = 'split'),
+e AS (SELECT element_id, arg_min(struct_pack(t := type, n := length(content)), recorded_at) r FROM elements GROUP BY 1),
+c AS (SELECT chunk_id, arg_min(struct_pack(n := length(text), m := metadata.max_chars), recorded_at) r FROM chunks GROUP BY 1)
+SELECT 'element' AS item_kind, element_id AS item_id FROM e JOIN l ON item_type = r.t WHERE r.n > capacity
+UNION ALL SELECT 'chunk', chunk_id FROM c WHERE r.n > coalesce(r.m, (SELECT capacity FROM l WHERE item_type = 'chunk'))""",
+}
