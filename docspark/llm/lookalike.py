@@ -8,7 +8,7 @@ rewritten in one pass, and text without any key is returned as it is. Case, visi
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 CYRILLIC = dict(zip("АВЕКМНОРСТХІЅЈҮԌԚԜӀаеорсухіѕјһԁԛԝӏ", "ABEKMHOPCTXISJYGQWlaeopcyxisjhdqwl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc", strict=True))
 LATIN = dict(zip("ɑɡⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "agIVXLCDMivxlcdmBPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+RADICALS = dict(zip("⺁⺂⺃⺄⺅⺆⺉⺊⺖⺘⺙⺡⺣⺦⺨⺩⺪⺬⺭⺯⺰⺱⺲⺹⺾⻁⻂⻃⻅⻆⻈⻉⻋⻌⻐⻑⻓⻔⻗⻘⻙⻚⻛⻜⻝⻠⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳", "厂乛乚乙亻冂刂卜忄扌攵氵灬丬犭王疋示礻糹纟罓罒耂艹虎衤覀见角讠贝车辶钅長长门雨青韦页风飞食饣马骨鬼鱼鸟卤麦黄齐齿龙龟", strict=True))
 HYPHENS = dict.fromkeys("‐‑﹣－", "-")
 LINES = {"\x85": "\n", " ": "\n", " ": "\n", "\r": "\n"}
 #: Kinds of compatibility decomposition that leave the look; superscripts, circles, fractions and fonts don't.
@@ -48,8 +49,8 @@ def plain(c: str) -> str:
         return " "
     if c in HYPHENS:
         return HYPHENS[c]
-    if c in LATIN:
-        return LATIN[c]
+    if c in LATIN or c in RADICALS:
+        return LATIN.get(c) or RADICALS[c]
     kind, _, parts = unicodedata.decomposition(c).partition(" ")
     if kind.startswith("<"):
         whole = "".join(chr(int(x, 16)) for x in parts.split())
@@ -76,6 +77,8 @@ class Transducer:
         keys = self._ranges([*self.table])
         marks = self._ranges(marks)
         self.pattern = regex.compile(f"\\r\\n|{EMOJI}|[^{marks}\\n][{marks}]+|[{keys}{marks}]", regex.V1)
+        # text without marks needs no clusters: each of its characters is one
+        self.marked, self.simple = re.compile(f"[{marks}\r]").search, re.compile(f"[{keys}]").sub
         self.memory: dict[str, str] = {}
         self.emoji = regex.compile(EMOJI, regex.V1)
 
@@ -111,6 +114,8 @@ class Transducer:
         """The consistent form of a text; rewriting it again changes nothing."""
         if text.isascii() and "\r" not in text:
             return text
+        if not self.marked(text):
+            return self.simple(lambda m: self.table[m.group(0)], text)
         return self.pattern.sub(self._cluster, text)
 
 
