@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import lookalike, packing, splitting, tokenizer, truncation
+from docspark.llm import lookalike, markup, packing, splitting, tokenizer, truncation
 from docspark.plans.lineage import Cuts
 from docspark.sources.tables import earliest, table
 
@@ -47,6 +47,24 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 4))
 
 
+def _prose(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.coalesce(F.get_json_object("metadata", "$.kind") == "code_block", F.lit(False))
+    counts = (F.coalesce("type", F.lit("")) != "table") & ~code
+    return table(spark, folder, "elements").select("element_id", "recorded_at", counts.alias("counts"), "content")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = markup.kinds_of(_prose(spark, folder).withColumn("content", F.when(F.col("counts"), F.col("content"))), ["element_id", "recorded_at"], "content")
+    first = earliest(rows, "element_id", ["recorded_at", "kinds"])  # kinds are shuffled, contents aren't
+    return first.select("element_id", F.explode("kinds").alias("markup"))
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of every prose element, with the roles of its blocks."""
+    rows = markup.clean(_prose(spark, folder).where("counts"), ["element_id", "recorded_at"], "content")
+    return earliest(rows, "element_id", ["recorded_at", "markup", "clean", "blocks"]).drop("recorded_at")
+
+
 def _oversized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Elements and chunks over their limits, of each key the earliest row. Contents are fetched for these alone."""
     limits = F.broadcast(table(spark, folder, "size_limits").where("use_for = 'split'").select(F.col("item_type").alias("type"), F.col("capacity").alias("most"), F.col("overlap").alias("shared")))  # one row for each type
@@ -92,7 +110,7 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent(elements.unionByName(chunks), ["item_kind", "item_id", "recorded_at"], "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p6_found, p6_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
 SQL = {
     "p3_found": """WITH l AS (SELECT item_type, capacity FROM size_limits WHERE use_for = 'split'),
 e AS (SELECT element_id, arg_min(struct_pack(t := type, n := length(content)), recorded_at) r FROM elements GROUP BY 1),
