@@ -37,7 +37,8 @@ def p1_table(spark: SparkSession, folder: str) -> DataFrame:
         return F.expr(f"cast({drift.unwrap(f'doc[top[{name!r}]]')} AS string)").alias(name)
 
     def inner(name: str) -> F.Column:
-        return F.expr(f"coalesce(try_variant_get({drift.unwrap(f'loc[inner[{name!r}]]')}, '$', 'string'), to_json(loc[inner[{name!r}]]))").alias(name)
+        value = f"coalesce(try_variant_get({drift.unwrap(f'loc[inner[{name!r}]]')}, '$', 'string'), to_json(loc[inner[{name!r}]]))"
+        return F.expr(f"nullif({value}, 'null')").alias(name)
 
     own = [F.expr(f"try_variant_get(el, '$.{c}', 'string')").alias(c) for c in ("element_id", "type", "content", "parent_id")]
     tops = [top(c) for c in ("document_id", "source_type", "schema_version", "source_path", "source_hash", "parser_name", "parser_version")]
