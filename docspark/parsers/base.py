@@ -45,7 +45,7 @@ class Output:
     warnings: list[dict] = field(default_factory=list)
     metadata: dict = field(default_factory=dict)
 
-    def add(self, kind: str, content: str | None, locator: dict, resource: str | None = None, confidence: float | None = None, **metadata) -> None:
+    def add(self, kind: str, content: str | None, locator: dict, /, resource: str | None = None, confidence: float | None = None, **metadata) -> None:
         n = len(self.elements)
         self.elements.append(
             {
@@ -61,7 +61,7 @@ class Output:
             }
         )
 
-    def warn(self, code: str, reason: str = "", **details) -> None:
+    def warn(self, code: str, reason: str = "", /, **details) -> None:
         self.warnings.append({"code": code, "reason": reason or code, "details": json.dumps(details, ensure_ascii=False, sort_keys=True) if details else None})
 
     def result(self) -> dict:

@@ -19,5 +19,10 @@ def earliest(df: DataFrame, key: str, columns: list[str], at: str = "recorded_at
     aggregation combines on the map side, so a key that holds many rows sends few of them. Columns of the input that are
     not named are ignored.
     """
-    first = F.min(F.struct(F.col(at).isNull().alias("_n"), F.col(at), *[F.col(c) for c in columns if c != at])).alias("_r")
+    rest = [c for c in columns if c != at]
+    if any("map<" in df.schema[c].dataType.simpleString() or "variant" in df.schema[c].dataType.simpleString() for c in rest):
+        order = F.struct(F.col(at).isNull(), F.col(at), *[F.to_json(F.struct(c)) for c in rest])
+        first = F.min_by(F.struct(at, *rest), order).alias("_r")
+    else:
+        first = F.min(F.struct(F.col(at).isNull().alias("_n"), F.col(at), *rest)).alias("_r")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
