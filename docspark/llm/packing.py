@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Length classes per capacity, rounds of the weights, and hashed buckets in which a class is ranked.
 CLASSES, ROUNDS, BUCKETS = 512, 500, 64
+#: How fast prices fall with coverage; also the number of steps that cover a class.
+SHARPNESS = 20.0
 
 
 def best_filling(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
@@ -43,8 +45,8 @@ def best_filling(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.nda
 def configuration_lp(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """(filling, amount) pairs whose sum covers the demand: the covering program by multiplicative weights.
 
-    Each round adds as much of the best filling at the present prices as covers a tenth of its scarcest class; prices of
-    covered classes fall exponentially. The amounts are scaled at the end so that each class is covered.
+    Each round adds as much of the best filling at the present prices as covers 1 / SHARPNESS of its scarcest class; prices
+    fall exponentially with what is covered. The amounts are scaled at the end by what the middle class has too much.
     """
     cover, log_weight = np.zeros(len(sizes)), np.zeros(len(sizes))
     mix: dict[bytes, list] = {}
@@ -52,11 +54,11 @@ def configuration_lp(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
         weight = np.exp(log_weight - log_weight.max())
         filling = best_filling(sizes, weight / demand, capacity)
         used = filling > 0
-        step = 0.1 * float((demand[used] / filling[used]).min())
+        step = 1 / SHARPNESS * float((demand[used] / filling[used]).min())
         mix.setdefault(filling.tobytes(), [filling, 0.0])[1] += step
         gain = step * filling / demand
         cover += gain
-        log_weight -= 5.0 * gain
+        log_weight -= SHARPNESS * gain
         if cover.min() >= 1:
             break
     scale = max(1.0, float(np.median(cover)))
