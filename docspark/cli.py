@@ -38,7 +38,7 @@ def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[st
     for p in paths[1:]:
         files = files.unionByName(binary_files(spark, p))
     out = documents(identified(collisions(files)), "text", "content", registry, parser, limit)
-    out = out.withColumn("error_code", F.coalesce(F.when("stem_collision", "stem_collision"), "error_code")).drop("content", "text").cache()
+    out = out.withColumn("error_code", F.coalesce(F.when(F.col("stem_collision"), "stem_collision"), "error_code")).drop("content", "text").cache()
     good = out.where("error_code is null")
     body = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
     if single:
@@ -56,7 +56,7 @@ def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[st
     event(log, "batch_done", **{k: v for k, v in result.items() if k != "errors"})
     for e in result["errors"]:
         event(log, "file_failed", **e)
-    return 0 if not result["failed"] else 1
+    return int(result["failed"] > 0)
 
 
 def main(argv: list[str] | None = None) -> int:

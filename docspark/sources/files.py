@@ -63,6 +63,6 @@ def write_documents(documents: DataFrame, folder: str, name: str, body: str) ->
 
 def summary(status: DataFrame, seconds: float, workers: int) -> dict:
     """The batch summary of (path, error_code): counts and one entry for each failed file."""
-    n = status.agg(F.count("*").alias("total"), F.count_if("error_code is null").alias("success")).first()
+    n = status.agg(F.count("*").alias("total"), F.count_if(F.col("error_code").isNull()).alias("success")).first()
     failed = status.where("error_code is not null").select("path", "error_code").toLocalIterator()
     return {"total": n.total, "success": n.success, "failed": n.total - n.success, "workers": workers, "wall_time_seconds": round(seconds, 3), "errors": [{"file": r.path, "code": r.error_code} for r in failed]}
