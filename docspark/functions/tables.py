@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspark.functions.text import col, strip
+from docspark.functions.text import col, let, strip
 
 
 def pipe_cells(row: Column | str) -> Column:
@@ -24,13 +24,15 @@ def cell(x: Column) -> Column:
 
 def linearize(rows: Column | str) -> Column:
     """array<array<string>> as a pipe table: head, rule, body; rows padded to the widest. No rows give the empty string."""
-    rows = col(rows)
-    width = F.array_max(F.transform(rows, F.size))
-    pad = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    body = F.transform(rows, lambda r: line(pad(r)))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.lit(0), F.size(body) - 1))), "\n")).otherwise("")
+
+    def whole(rows: Column, width: Column) -> Column:
+        padded = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r))))
+        rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+        return let(F.transform(rows, lambda r: line(padded(r))), lambda body: F.array_join(F.concat(F.slice(body, 1, 1), rule, F.slice(body, F.lit(2), F.greatest(F.lit(0), F.size(body) - 1))), "\n"))
+
+    table = let(col(rows), lambda r: let(F.array_max(F.transform(r, F.size)), lambda w: whole(r, w)))
+    return F.when(F.size(rows) > 0, table).otherwise("")
 
 
 def python_cells(row: str) -> list[str]:

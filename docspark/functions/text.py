@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: an expression that is used several times would be evaluated as often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(col(x), f"^{BLANKS}+|{BLANKS}+$", "")

@@ -11,24 +11,7 @@ from docspark.parsers import text as plain
 from docspark.parsers.base import guarded
 from docspark.plans.local import with_local
 from docspark.registry import Registry, built_in
-from docspark.types import ELEMENT, FAMILIES, PARSED
-
-TEXT = "text"
-
-
-def parse_text(df: DataFrame, text: str, document_id: str) -> DataFrame:
-    """`df` with parsed, of plain text: in expressions, without Python."""
-    made = plain.elements(text, document_id)
-    full = F.transform(made, lambda e: F.named_struct(*[x for f in _fields(ELEMENT) for x in (F.lit(f), e[f] if f in ("ord", "element_id", "type", "content", "confidence") else F.struct(e["source_locator"]["family"].alias("family"), e["source_locator"]["line"].alias("line")) if f == "source_locator" else F.lit(None))]))
-    value = F.to_json(F.struct(full.alias("elements"), F.when(F.size(made) == 0, F.array(F.struct(F.lit("text_no_content").alias("code")))).otherwise(F.array().cast("array<struct<code:string>>")).alias("warnings")))
-    return df.withColumn("parsed", F.when(F.col(text).isNotNull(), F.from_json(value, PARSED)))
-
-
-def _fields(ddl: str) -> list[str]:
-    from pyspark.sql.types import DataType
-
-    return DataType.fromDDL(ddl).names
-
+from docspark.types import FAMILIES, PARSED
 
 def parse(df: DataFrame, content: str, data: str | None, document_id: str, parser: str, registry: Registry | None = None) -> DataFrame:
     """`df` with parsed: each row by the parser that the column `parser` names.
@@ -46,7 +29,7 @@ def parse(df: DataFrame, content: str, data: str | None, document_id: str, parse
     text_rows = df.where(F.col(parser) == "text")
     others = df.where(F.coalesce(F.col(parser) != "text", F.lit(True))).withColumn("_data", F.col(data) if data else F.lit(None).cast("binary"))
     done = with_local(others, "parsed", PARSED, run, content, "_data", document_id, parser).drop("_data")
-    return done.unionByName(parse_text(text_rows, content, document_id))
+    return done.unionByName(text_rows.withColumn("parsed", plain.parsed(content, document_id)))
 
 
 def _unknown(name: str, document_id: str):
