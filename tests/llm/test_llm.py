@@ -254,7 +254,7 @@ def test_markup_rows(spark):
     "text,kind,complete",
     [
         ("A whole sentence.", "prose", True), ("A sentence that", "prose", False), ("Quote.)\n", "prose", True), ("x\n- item", "list", False), ("Figure 3: caption", "caption", False), ("t\n| a | b |\n| - | - |\n| c | d |", "table", True),
-        ("t\n| a | b |\n| - | - |\n| c |", "table", False), ("| a | b |\n| c | d", "table", False), ("```\nx\n```", "code", True), ("```\nx = 1", "code", False), ("Records desk Xy, 2024-05-01", "signature", True), ("Page 5 of 17", "page", True), ("完整。", "prose", True), ("不完", "prose", False),
+        ("t\n| a | b |\n| - | - |\n| c |", "table", False), ("| a | b |\n| c | d", "table", False), ("| a | b | c |\n| - | - | - |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| a | b |\n| --- | --- |\n| 1 | 2 |", "table", True), ("```\nx\n```", "code", True), ("```\nx = 1", "code", False), ("Records desk Xy, 2024-05-01", "signature", True), ("Page 5 of 17", "page", True), ("完整。", "prose", True), ("不完", "prose", False),
     ],
 )
 def test_last_line(text, kind, complete):
