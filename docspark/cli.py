@@ -10,10 +10,12 @@ import time
 
 from pyspark.sql import functions as F
 
+from docspark.operators.validation import chunk_violations, element_violations, explode_violations
 from docspark.pipeline import documents
 from docspark.registry import built_in
 from docspark.session import session
 from docspark.sources.files import as_json, binary_files, collisions, identified, summary, write_documents
+from docspark.types import CHUNK, ELEMENT
 
 FIELDS = ["document_id", "path", "source_type", "source_hash", "parser_name", "elements", "chunks", "warnings", "metadata"]
 
@@ -59,6 +61,20 @@ def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[st
     return int(result["failed"] > 0)
 
 
+def validate(paths: list[str]) -> int:
+    """Prints the violations of documents written as JSON; 1 if there are any or a file is no such document."""
+    spark = session()
+    schema = f"document_id string, source_type string, source_hash string, elements array<{ELEMENT}>, chunks array<{CHUNK}>"
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", schema).alias("d"))
+    rows = texts.select("file", "d.*").withColumn("schema_version", F.lit("0.6.0"))
+    of = lambda items, rules, key: explode_violations(rows.select("file", "source_type", "schema_version", F.explode(items).alias("x")).select("file", "source_type", "schema_version", "x.*"), rules, "file", key).withColumnRenamed(key, "item")
+    head = rows.where(~F.coalesce(F.col("source_hash").rlike("^[0-9a-f]{64}$") & (F.length("document_id") > 0) & F.col("elements").isNotNull(), F.lit(False)))
+    broken = of("elements", element_violations(), "element_id").unionByName(of("chunks", chunk_violations(), "chunk_id"))
+    found = [*broken.toJSON().toLocalIterator(), *(json.dumps({"file": r.file, "code": "document.required"}) for r in head.select("file").toLocalIterator())]
+    print("\n".join(found))
+    return int(bool(found))
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="docspark")
     commands = top.add_subparsers(dest="command", required=True)
@@ -72,11 +88,21 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--log-file")
     for name in ("parsers", "audit"):
         commands.add_parser(name).add_argument("--plugin", action="append", default=[])
+    commands.add_parser("validate").add_argument("paths", nargs="+")
+    for name, what in (("inspect", "name"), ("explain", "path")):
+        c = commands.add_parser(name)
+        c.add_argument(what)
+        c.add_argument("--plugin", action="append", default=[])
     a = top.parse_args(argv)
+    if a.command == "validate":
+        return validate(a.paths)
     if a.command in ("parse", "batch-parse"):
         return run(a.paths, a.output, a.parser, a.max_chars, a.plugin, a.log_file, a.command == "parse")
     registry = built_in()
     registry.load(a.plugin)
+    if a.command in ("inspect", "explain"):
+        print(json.dumps(registry.inspect(a.name) if a.command == "inspect" else registry.explain(os.path.splitext(a.path)[1].lower()), ensure_ascii=False))
+        return 0
     table = registry.table(session()) if a.command == "parsers" else registry.audit(session())
     for row in table.toJSON().toLocalIterator():
         print(row)

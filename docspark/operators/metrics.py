@@ -47,6 +47,15 @@ def locator_ratio(elements: DataFrame, kind: str) -> DataFrame:
     return own.withColumn("ratio", F.col("valid") / F.col("elements"))
 
 
+def image_resources(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """(document_id, present, images): images whose resource_path, or its file name, is one of `files` (path, length) with content."""
+    name = lambda c: F.regexp_extract(F.regexp_replace(c, r"\\\\", "/"), r"([^/]*)$", 1)
+    there = files.where("length > 0").select(F.explode(F.array_distinct(F.array(F.regexp_replace("path", "^file:/*", "/"), name("path")))).alias("key"), F.lit(1).alias("there")).distinct()
+    own = elements.where("type = 'image'").select("document_id", "element_id", "resource_path", F.explode_outer(F.array_distinct(F.array("resource_path", name("resource_path")))).alias("key"))
+    each = own.join(there, "key", "left").groupBy("document_id", "element_id").agg(F.max("there").alias("there"))
+    return each.groupBy("document_id").agg(F.count("there").alias("present"), F.count("*").alias("images"))
+
+
 def chunk_references(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """(document_id, intact, chunks): chunks whose every reference is an element of the document. A semi-join on both keys."""
     refs = chunks.select("document_id", "chunk_id", F.explode_outer("source_element_ids").alias("element_id"))

@@ -24,7 +24,7 @@ def parse(df: DataFrame, content: str, data: str | None, document_id: str, parse
     def run(text: str | None, raw: bytes | None, document: str, name: str | None) -> dict | None:
         if name not in functions:
             return guarded(_unknown)(name or "", document)
-        return functions[name](bytes(raw) if name == "fallback" and raw is not None else text, document)
+        return functions[name](bytes(raw) if name in ("fallback", "kreuzberg") and raw is not None else text, document)
 
     text_rows = df.where(F.col(parser) == "text")
     others = df.where(F.coalesce(F.col(parser) != "text", F.lit(True))).withColumn("_data", F.col(data) if data else F.lit(None).cast("binary"))

@@ -92,6 +92,21 @@ class Registry:
             raise ValueError(f"unknown parser {name!r}")
         return self.parsers[name]
 
+    def listing(self) -> list[dict]:
+        """What each parser declares, by priority and name."""
+        return [self.inspect(c.name) for c in sorted(self.parsers.values(), key=lambda c: (c.priority, c.name))]
+
+    def inspect(self, name: str) -> dict:
+        c = self.get(name)
+        return {"name": c.name, "priority": c.priority, "extensions": list(c.extensions), "version": c.version, "source_types": list(c.source_types), "locator_family": c.family}
+
+    def explain(self, extension: str) -> dict:
+        """Why a parser takes an extension: the candidates in order, the winner, the reason, and who ties with it."""
+        found = self.candidates(extension)
+        tied = [c.name for c in found if c.priority == found[0].priority]
+        reason = "no_candidates" if not found else "single_candidate" if len(found) == 1 else "registration_order" if len(tied) > 1 else "priority"
+        return {"extension": extension, "candidates": [{"name": c.name, "priority": c.priority} for c in found], "winner": found[0].name if found else None, "reason": reason, "tied_names": tied if len(tied) > 1 else []}
+
     def load(self, modules: Iterable[str]) -> None:
         """Imports plugin modules, each once; a module's `register_parsers(registry)` adds its parsers."""
         for module in modules:
@@ -135,12 +150,13 @@ class Registry:
 
 def built_in() -> Registry:
     """The parsers of this package, in their order and with their priorities."""
-    from docspark.parsers import docx, html, markdown, notebook, pages
+    from docspark.parsers import docx, extracted, html, markdown, notebook, pages
 
     r = Registry()
     office = lambda data, i: docx.parse(data, i) if data[:2] == b"PK" else pages.parse(data, i)
     r.register(Capability("fallback", "1", (".pdf", ".docx"), 10, ("docx",), "structural_index", office))
     r.families["pdf"] = "page_geometry"
+    r.register(Capability("kreuzberg", "1", (".pdf", ".docx"), 50, ("docx",), "structural_index", extracted.parse))
     r.register(Capability("markdown", "1", (".md", ".markdown"), 20, ("markdown",), "line_address", markdown.parse))
     r.register(Capability("html", "1", (".html", ".htm"), 100, ("html",), "line_address", html.parse))
     r.register(Capability("text", "1", (".txt", ".text"), 100, ("text",), "line_address"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,6 +43,30 @@ def collisions(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("stem", stem).withColumn("stem_collision", rank > 1)
 
 
+def image_name(document_id: str, ordinal: int, part: str) -> str:
+    """The file name of a document's n-th image."""
+    return f"image_{document_id.removeprefix('doc-')}_docx_{ordinal:02d}{os.path.splitext(part)[1] or '.bin'}"
+
+
+def extract_images(files: DataFrame, folder: str) -> None:
+    """Writes the images of DOCX rows (document_id, content) to a folder that all workers share; other content is passed over."""
+
+    def write(rows: Iterator) -> None:
+        for r in rows:
+            try:
+                with zipfile.ZipFile(io.BytesIO(bytes(r[1]))) as package:
+                    for n, part in enumerate(sorted(x for x in package.namelist() if x.startswith("word/media/"))):
+                        target = os.path.join(folder, image_name(r[0], n, part))
+                        with open(f"{target}.part", "wb") as f:
+                            f.write(package.read(part))
+                        os.replace(f"{target}.part", target)
+            except (zipfile.BadZipFile, TypeError):
+                continue
+
+    os.makedirs(folder, exist_ok=True)
+    files.select("document_id", "content").foreachPartition(write)
+
+
 def as_json(document: DataFrame, columns: list[str]) -> DataFrame:
     """(value) of each row as a JSON object that keeps null fields."""
     return document.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -99,3 +99,50 @@ def test_command_line(folder):
     document = json.loads((folder / "o" / "a.json").read_text())
     assert document["elements"][0]["parent_id"] is None and document["chunks"][0]["text"] == "T text"
     assert [json.loads(x)["event"] for x in (folder / "log").read_text().splitlines()] == ["batch_done", "file_failed"]
+
+
+def test_explanations():
+    r = built_in()
+    assert r.explain(".md")["winner"] == "markdown_enhanced" and r.explain(".md")["reason"] == "priority" and r.explain(".zip")["reason"] == "no_candidates"
+    assert r.explain(".html") == {"extension": ".html", "candidates": [{"name": "html", "priority": 100}], "winner": "html", "reason": "single_candidate", "tied_names": []}
+    assert r.inspect("ipynb")["locator_family"] == "container_line" and [x["name"] for x in r.listing()][0] == "markdown_enhanced"
+
+
+def test_extracted_blocks():
+    from docspark.parsers import extracted
+
+    out = extracted.blocks("# Title\nbody text.\n\nShort line\n\nA sentence.\n\n", "d", "docx")
+    assert [(e["type"], e["content"]) for e in out.elements] == [("heading", "Title"), ("paragraph", "body text."), ("heading", "Short line"), ("paragraph", "A sentence.")]
+    assert [e["source_locator"]["paragraph_index"] for e in out.elements] == [0, 1, 2, 3]
+    assert [w["code"] for w in extracted.blocks(" ", "d", "pdf").warnings] == ["kreuzberg_no_structured_elements"]
+
+
+def test_image_resources(spark):
+    from docspark.operators import metrics
+
+    elements = spark.createDataFrame([("d", "e1", "image", "media/a.png"), ("d", "e2", "image", "b.png"), ("d", "e3", "image", None), ("d", "e4", "paragraph", "a.png")], "document_id string, element_id string, type string, resource_path string")
+    there = spark.createDataFrame([("file:/x/a.png", 5), ("/x/b.png", 0), ("/y/a.png", 5)], "path string, length long")
+    assert [tuple(r) for r in metrics.image_resources(elements, there).collect()] == [("d", 1, 3)]
+
+
+def test_extract_images(spark, tmp_path):
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/media/i.png", b"png")
+    rows = spark.createDataFrame([("doc-1", bytearray(data.getvalue())), ("doc-2", bytearray(b"no")), ("doc-3", None)], "document_id string, content binary")
+    files.extract_images(rows, str(tmp_path / "images"))
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "images").iterdir()] == [("image_1_docx_00.png", b"png")]
+
+
+def test_validate_command(tmp_path):
+    good = {"document_id": "d", "source_type": "text", "source_hash": "0" * 64, "elements": [{"element_id": "e", "type": "paragraph", "content": "x", "source_locator": {"family": "line_address", "line": 1}}], "chunks": []}
+    bad = {**good, "source_hash": "x", "elements": [{**good["elements"][0], "type": "odd", "content": ""}]}
+    for name, document in (("good", good), ("bad", bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(document))
+    run = lambda name: subprocess.run([sys.executable, "-m", "docspark.cli", "validate", str(tmp_path / f"{name}.json")], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=200)
+    assert run("good").returncode == 0
+    out = run("bad")
+    assert out.returncode == 1 and sorted(json.loads(x)["code"] for x in out.stdout.split("\n") if x.startswith("{")) == ["content.any_of", "document.required", "type.enum"]
