@@ -192,14 +192,14 @@ def first_pass(role: str, block: str, touched: bool) -> str:
 
 def second_pass(labels: list[str]) -> list[str]:
     """Short and doubtful blocks take the label of the nearest decided neighbours: residue only between residue."""
-    out = list(labels)
-    for i, label in enumerate(labels):
-        if label in ("short", "doubtful"):
-            left = next((x for x in reversed(labels[:i]) if x in ("text", "residue")), None)
-            right = next((x for x in labels[i + 1 :] if x in ("text", "residue")), None)
-            near = {x for x in (left, right) if x}
-            out[i] = "residue" if near == {"residue"} and left == right else "text"
-    return out
+    decided = ("text", "residue")
+    left, right = list(labels), list(labels)
+    for side, order in ((left, range(len(labels))), (right, range(len(labels) - 1, -1, -1))):
+        near = None
+        for i in order:
+            near = labels[i] if labels[i] in decided else near
+            side[i] = near
+    return [x if x in decided else "residue" if a == b == "residue" else "text" for x, a, b in zip(labels, left, right, strict=True)]
 
 
 def analyse(text: str | None) -> tuple[list[str], str | None, list[tuple[str, str, str]]]:
@@ -212,6 +212,7 @@ def analyse(text: str | None) -> tuple[list[str], str | None, list[tuple[str, st
     if not scan.kinds:
         return [], text, [("text", "text", text)]
     blocks: list[list] = []
+    original = set(text.split("\n"))
     for line in scan.text.split("\n"):
         body = line.strip()
         if not body:
@@ -223,7 +224,7 @@ def analyse(text: str | None) -> tuple[list[str], str | None, list[tuple[str, st
             continue
         body = re.sub(f"{HOLD}(\\d+){HOLD}", lambda m: {"inline code": "`{}`", "inline formula": "${}$"}.get(scan.held[int(m[1])][0], "{}").format(scan.held[int(m[1])][1]), body)
         role = "heading" if re.match(r"#{1,6} ", body) else "list" if re.match(r"(?:[-*+•]|\d+[.)]) ", body) else "table" if body.startswith("|") else "text"
-        touched = line not in text
+        touched = line not in original
         if role == "text" and blocks and blocks[-1][0] == "text":
             blocks[-1][1] += f"\n{body}"
             blocks[-1][2] |= touched

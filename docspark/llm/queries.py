@@ -10,9 +10,13 @@ from docspark.plans.lineage import Cuts
 from docspark.sources.tables import earliest, table
 
 
+#: Tokens of a container where size_limits has no row for it.
+CAPACITY = 2048
+
+
 def _capacity(spark: SparkSession, folder: str) -> int:
     row = table(spark, folder, "size_limits").where("use_for = 'pack' and item_type = 'document'").first()
-    return int(row.capacity)
+    return int(row.capacity) if row else CAPACITY
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

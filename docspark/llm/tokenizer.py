@@ -24,8 +24,8 @@ FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed: the published pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered in a worker; beyond that the memory is emptied and fills again.
-REMEMBERED = 1_000_000
+#: Words remembered in a worker, beyond which the memory is emptied and fills again, and the longest word remembered.
+REMEMBERED, LONGEST = 300_000, 80
 
 
 class PerfectHash:
@@ -85,9 +85,11 @@ class _Memory(dict):
         self.compute = compute
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
         return value
 
 
