@@ -30,7 +30,7 @@ LINES = {"\x85": "\n", " ": "\n", " ": "\n", "\r": "\n"}
 #: Kinds of compatibility decomposition that leave the look; superscripts, circles, fractions and fonts don't.
 SAME_LOOK = {"<wide>", "<narrow>", "<small>", "<compat>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>"}
 IGNORED = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0}
-EMOJI = r"\p{Extended_Pictographic}[︎️\U0001F3FB-\U0001F3FF]*(?:‍\p{Extended_Pictographic}[︎️\U0001F3FB-\U0001F3FF]*)+"
+EMOJI = r"[%s][︎️\U0001F3FB-\U0001F3FF]*(?:‍[%s][︎️\U0001F3FB-\U0001F3FF]*)+"
 
 
 def invisible(c: str) -> bool:
@@ -76,11 +76,13 @@ class Transducer:
         marks = [c for c in space if unicodedata.category(c) in ("Mn", "Mc", "Me") or invisible(c) or 0x1161 <= ord(c) <= 0x11FF]
         keys = self._ranges([*self.table])
         marks = self._ranges(marks)
-        self.pattern = regex.compile(f"\\r\\n|{EMOJI}|[^{marks}\\n][{marks}]+|[{keys}{marks}]", regex.V1)
+        pictures = self._ranges([chr(n) for n in range(0x20000) if not 0xD800 <= n <= 0xDFFF and regex.match(r"\p{Extended_Pictographic}", chr(n))])
+        emoji = EMOJI % (pictures, pictures)
+        self.pattern = re.compile(f"\\r\\n|{emoji}|[^{marks}\\n][{marks}]+|[{keys}{marks}]")
         # text without marks needs no clusters: each of its characters is one
         self.marked, self.simple = re.compile(f"[{marks}\r]").search, re.compile(f"[{keys}]").sub
         self.memory: dict[str, str] = {}
-        self.emoji = regex.compile(EMOJI, regex.V1)
+        self.emoji = re.compile(emoji)
 
     @staticmethod
     def _ranges(chars: list[str]) -> str:
@@ -94,7 +96,7 @@ class Transducer:
             i = j + 1
         return "".join(out)
 
-    def _cluster(self, m: regex.Match) -> str:
+    def _cluster(self, m: re.Match) -> str:
         key = m.group(0)
         form = self.memory.get(key)
         if form is None:

@@ -45,7 +45,7 @@ ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,3
 _BARE = "item|em|bf|it|tt|sc|par|noindent|newline|newpage|linebreak|pagebreak|maketitle|tableofcontents|hline|centering|LaTeX|TeX|ldots|dots|cdot|cdots|times|leq|geq|neq|approx|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|omega|pi|theta|sum|int|infty|partial|quad|qquad|left|right|bigskip|medskip|smallskip"
 
 CODE = (
-    ("markdown", re.compile(r"^(?P<a>[ \t]*(?P<f>```+|~~~+)[^\n`]*\n)(?P<body>.*?)(?P<z>^[ \t]*(?P=f)[ \t]*\r?$|\Z)", re.M | re.S)),
+    ("markdown", re.compile(r"^(?P<a>[ \t]*(?P<f>`{3,}|~{3,})(?![`~])[^\n`]*\n)(?P<body>.*?)(?P<z>^[ \t]*(?P=f)[ \t]*\r?$|\Z)", re.M | re.S)),
     ("html", re.compile(r"(?P<a><pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?|<code\b[^<>]*>)(?P<body>.*?)(?P<z>(?:</code>\s*)?</pre>|</code>|\Z)", re.I | re.S)),
     ("wiki", re.compile(r"(?P<a><(?P<f>syntaxhighlight|source|nowiki)\b[^<>]*>)(?P<body>.*?)(?P<z></(?P=f)>|\Z)", re.I | re.S)),
     ("latex", re.compile(r"(?P<a>\\begin\{(?P<f>verbatim|lstlisting|minted)\}[^\n]*)(?P<body>.*?)(?P<z>\\end\{(?P=f)\}|\Z)", re.S)),
@@ -54,8 +54,8 @@ CODE = (
 #: (kind, pattern, what remains: a group's name, a fixed text, or a function's name below)
 TOKENS = (
     ("latex", re.compile(r"\\begin\{(?P<env>equation|align|gather|displaymath|math|eqnarray|multline)\*?\}(?P<in>.*?)(?:\\end\{(?P=env)\*?\}|\Z)", re.S), "formula"),
-    ("latex", re.compile(r"\\\[(?P<in>.+?)\\\]|\$\$(?P<in2>[^$]+)\$\$", re.S), "formula"),
-    ("latex", re.compile(r"\\\((?P<in>.+?)\\\)|\$(?P<in2>(?=[^$\n]*[\\^_{}])[^\s$](?:[^$\n]*[^\s$\\])?)\$(?!\d)"), "inline"),
+    ("latex", re.compile(r"\\\[(?P<in>(?:(?!\\\[).)+?)\\\]|\$\$(?P<in2>[^$]+)\$\$", re.S), "formula"),
+    ("latex", re.compile(r"\\\((?P<in>(?:(?!\\\().)+?)\\\)|\$(?P<in2>(?=[^$\n]*[\\^_{}])[^\s$](?:[^$\n]*[^\s$\\])?)\$(?!\d)"), "inline"),
     ("latex", re.compile(r"\\(?P<cmd>part|chapter|section|subsection|subsubsection|paragraph)\*?\{(?P<in>[^{}\n]*)\}"), "section"),
     ("latex", re.compile(r"[~ ]?\\(?:cite[a-z]*|ref|eqref|pageref|label|bibliography|bibliographystyle|input|include|usepackage|documentclass|includegraphics|vspace|hspace)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}"), ""),
     ("latex", re.compile(r"\\footnote\{(?P<in>[^{}\n]*)\}"), "note"),
@@ -68,15 +68,16 @@ TOKENS = (
     ("wiki", re.compile(r"\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}"), ""),
     ("wiki", re.compile(r"\[\[(?:File|Image|Category|Datei|Bild|Kategorie|Fichier|Catégorie|Archivo|Categoría|Файл|Категория|文件|分类)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", re.I), ""),
     ("wiki", re.compile(r"\[\[(?:[^\[\]|\n]*\|)?(?P<in>[^\[\]|\n]+)\]\](?!\()"), "link"),
-    ("wiki", re.compile(r"(?<!')(?P<q>'{2,3}|'{5})(?!['\s])(?P<in>[^\n]*?[^'\s])(?P=q)(?!')"), "in"),
+    ("wiki", re.compile(r"(?<!')(?P<q>'{2,3}|'{5})(?!['\s])(?P<in>(?:[^'\n]|'(?!'))*?[^'\s])(?P=q)(?!')"), "in"),
+    ("wiki", re.compile(r"(?<!')(?P<q>'{2,3}|'{5})(?!['\s])(?P<in>(?:[^'\n]|'(?!'))*?[^'\s])(?P=q)(?!')"), "in"),
     ("wiki", re.compile(r"^(?P<eq>={1,6})[ \t]*(?P<in>[^=\n]+?)[ \t]*(?P=eq)[ \t]*\r?$", re.M), "heading"),
     ("wiki", re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+(?P<in>[^\]\n]*))?\]"), "link"),
-    ("wiki", re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>.*?</ref>|<references\s*/>", re.I | re.S), ""),
+    ("wiki", re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>(?:(?!<ref\b).)*?</ref>|<references\s*/>", re.I | re.S), ""),
     ("wiki", re.compile(r"__(?:NO)?(?:TOC|EDITSECTION|INDEX|GALLERY)__"), ""),
     ("html", COMMENT, ""),
     ("html", TAG, "tag"),
     ("html", ENTITY, "entity"),
-    ("markdown", re.compile(r"!\[(?P<in>[^\]\n]*)\](?:\([^)\n]*\)|\[[^\]\n]*\])"), "in"),
+    ("markdown", re.compile(r"!\[(?P<in>[^\[\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])"), "in"),
     ("markdown", re.compile(r"^[ \t]{0,3}\[\^[^\]\s]+\]:[ \t]*", re.M), ""),
     ("markdown", re.compile(r"^[ \t]{0,3}\[[^\]\n^]+\]:[ \t]*\S+(?:[ \t]+[\"'(][^\n]*)?[ \t]*\r?$", re.M), ""),
     ("markdown", re.compile(r"\[\^[^\]\s]+\]"), ""),
@@ -84,7 +85,7 @@ TOKENS = (
     ("markdown", re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(?=\S)", re.M), "mark"),
     ("markdown", re.compile(r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+", re.M), "- "),
     ("markdown", re.compile(r"^[ \t]{0,3}>[ \t]?", re.M), ""),
-    ("markdown", re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?\r?$\n?", re.M), ""),
+    ("markdown", re.compile(r"^[ \t]*(?:\|[ \t]*)?(?::?-{2,}:?[ \t]*\|[ \t]*)+(?::?-{2,}:?[ \t]*)?\r?$\n?", re.M), ""),
     ("markdown", re.compile(r"(?<![\w*])(?P<s>\*\*\*|\*\*)(?![\s*])(?P<in>[^*\n]*[^\s*])(?P=s)(?!\*)|(?<![\w_])__(?![\s_])(?P<in2>[^_\n]*[^\s_])__(?![\w_])|(?<!~)~~(?![\s~])(?P<in3>[^~\n]*[^\s~])~~(?!~)"), "in"),
     ("markdown", re.compile(r"(?<![\w*\\])\*(?![\s*=])(?P<in>[^*\n]*[^\s*])\*(?![\w*])|(?<![\w_\\])_(?![\s_])(?P<in2>[^_\n]*[^\s_])_(?![\w_])"), "in"),
     ("markdown", re.compile(r"^[ \t]*[-*+][ \t]+(?=\*\*|\[|`)", re.M), "- "),
