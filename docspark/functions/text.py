@@ -76,6 +76,7 @@ def numbered(document: Column | str, mark: str, ordinal: Column | str) -> Column
     return F.concat(col(document), F.format_string(f"::{mark}%04d", col(ordinal)))
 
 
+# How captions begin, as blocks and as ends of relations, and how text mentions figures and tables.
 CAPTION = r"(?i)^\s*(?:Table|Figure|Fig\.?|表|图)\s*[0-9０-９]+[\.、:：]"
 FIGURE_CAPTION = r"^(?:Figure|Fig\.?|图)\s*[0-9]+[\.、:：\s]"
 TABLE_CAPTION = r"^(?:Table|表格|表)\s*[0-9]+[\.、:：\s]"

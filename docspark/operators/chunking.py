@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from docspark.plans.local import with_local
 from docspark.types import CHUNK
 
+# Fixed value: the gap after a sentence.
 SENTENCE_GAP = re.compile(r"(?<=[。！？!?\.])\s+")
 BLANK = re.compile(r"\s")
 APART = ("table", "caption")

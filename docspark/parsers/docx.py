@@ -15,6 +15,7 @@ from docspark.parsers.base import Output, ParseError
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# Fixed value: how a caption begins.
 CAPTION = re.compile(r"\s*(?:Table|Figure|Fig\.?|表|图)\s*[0-9０-９]+[\.、:：]", re.I)
 EMPTY = "(空段落)"  # fixed: the content of an empty paragraph
 

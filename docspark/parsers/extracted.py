@@ -9,6 +9,7 @@ import re
 
 from docspark.parsers.base import Output, ParseError
 
+#: Fixed value: a marked heading.
 MARKED = re.compile(r"\s*(?P<marks>#{1,6})\s+(?P<text>\S.*?)\s*$")
 #: The longest line taken for a heading, and the marks that end a sentence.
 SHORT, ENDS = 80, ("。", ".", "!", "?", "！", "？")

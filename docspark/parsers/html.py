@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from docspark.functions.tables import python_linearize
 from docspark.parsers.base import Output, Sections
 
+# Tags that head sections, and tags whose text isn't shown.
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 UNSEEN = {"script", "style", "head", "title", "meta", "link", "noscript"}
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from docspark.functions.tables import python_cells, python_linearize
 from docspark.parsers.base import Output, Sections
 
+# The line patterns of the Markdown dialect.
 ROW = re.compile(r"\s*\|.*\|\s*$")
 RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$")
 #: (kind, pattern, whether the line is stripped first), by precedence
