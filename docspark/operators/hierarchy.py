@@ -72,22 +72,39 @@ def cycles(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     return reach.select("v", "cycle_id", F.when(F.col("on"), "on").otherwise("under").alias("place"))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def _resolve(nodes: DataFrame, cuts: Cuts, sizes: bool = False) -> DataFrame:
-    """(v, top, up[, size]) for an acyclic (v, p): the topmost row, the steps up to it, and the rows of the subtree."""
+    """(v, top, up[, size]) for an acyclic (v, p): the topmost row, the steps up to it, and the rows of the subtree.
+
+    Rows that have arrived are written once and only read by later rounds; a subtree's size is 1 and what each round added.
+    """
     base = nodes.join(nodes.select(F.col("v").alias("p"), F.lit(True).alias("known")), "p", "left")
     j = F.when(F.col("known"), F.col("p"))
-    now = cuts.cut(base.select("v", j.alias("j"), F.when(j.isNull(), 0).otherwise(1).cast("long").alias("up"), F.lit(1).cast("long").alias("size"), F.when(j.isNull(), F.col("v")).alias("top")))
-    while not (live := now.where("j is not null")).isEmpty():
-        step = now.select(F.col("v").alias("j"), F.col("j").alias("jj"), F.col("up").alias("more"), F.col("top").alias("there"))
+    start = cuts.cut(base.select("v", j.alias("j"), F.when(j.isNull(), 0).otherwise(1).cast("long").alias("up"), F.lit(1).cast("long").alias("size"), F.when(j.isNull(), F.col("v")).alias("top")))
+    done, gained, live = [start.where("j is null")], [], start.where("j is not null")
+    while not live.isEmpty():
+        step = _union([*done, live]).select(F.col("v").alias("j"), F.col("j").alias("jj"), F.col("up").alias("more"), F.col("top").alias("there"))
         moved = live.join(step, "j").select("v", F.col("jj").alias("j"), (F.col("up") + F.col("more")).alias("up"), "size", F.col("there").alias("top"))
-        after = now.where("j is null").unionByName(moved)
         if sizes:
-            below = live.groupBy(F.col("j").alias("v")).agg(F.sum("size").alias("below"))
-            after = after.join(below, "v", "left").withColumn("size", F.col("size") + F.coalesce("below", F.lit(0))).drop("below")
-        after = cuts.cut(after)
-        cuts.drop(now)
-        now = after
-    return now.select("v", "top", "up", *(["size"] if sizes else []))
+            below = cuts.cut(live.groupBy(F.col("j").alias("v")).agg(F.sum("size").alias("below")))
+            gained.append(below)
+            moved = moved.join(below, "v", "left").select("v", "j", "up", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"), "top")
+        after = cuts.cut(moved)
+        done.append(after.where("j is null"))
+        live = after.where("j is not null")
+    out = _union(done).select("v", "top", "up")
+    if not sizes:
+        return out
+    if not gained:
+        return out.withColumn("size", F.lit(1).cast("long"))
+    total = _union(gained).groupBy("v").agg(F.sum("below").alias("below"))
+    return out.join(total, "v", "left").select("v", "top", "up", (1 + F.coalesce("below", F.lit(0))).alias("size"))
 
 
 def hierarchy(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
@@ -127,10 +144,7 @@ def hierarchy(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         step = chains.where("above is not null").join(up, "above")
         level = cuts.cut(step.select("head", "segment", F.concat("above_prefix", F.slice("above_segment", F.lit(1), F.col("hook_at").cast("int") + 1)).alias("prefix"), (F.col("above_first") + F.col("hook_at") + F.col("skip")).alias("first")))
         levels.append(level)
-    placed = levels[0]
-    for x in levels[1:]:
-        placed = placed.unionByName(x)
-    out = sized.join(chain, "v").join(placed, "head")
+    out = sized.join(chain, "v").join(_union(levels), "head")
     start = F.col("first") + F.col("at")
     path = F.concat("prefix", F.slice("segment", F.lit(1), F.col("at").cast("int") + 1))
     return out.select("v", "root", F.col("depth").cast("long").alias("depth"), path.alias("path"), start.alias("start"), (start + F.col("size")).alias("stop"), (F.col("size") - 1).alias("descendants"))
