@@ -115,17 +115,20 @@ def hierarchy(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     that lead into a cycle have no root and are left out (see `cycles`). Empty input gives no rows.
     """
     cuts = cuts or Cuts(nodes.sparkSession)
+    before = list(cuts.live)
     nodes = cuts.cut(nodes)
     tree = cuts.cut(nodes.join(_cyclic(nodes, cuts).select("v"), "v", "left_anti"))
     whole = _resolve(tree, cuts, sizes=True)
     known = tree.select(F.col("v").alias("p"), F.lit(True).alias("known"))
     sized = cuts.cut(tree.join(known, "p", "left").withColumn("p", F.when(F.col("known"), F.col("p"))).drop("known").join(whole, "v").select("v", "p", F.col("top").alias("root"), F.col("up").alias("depth"), "size"))
+    cuts.keep_only(before, sized)
     kids = sized.where("p is not null")
     heavy = kids.groupBy("p").agg(F.max(F.struct("size", "v")).alias("h")).select("p", F.col("h.v").alias("heavy"), F.col("h.size").alias("heavy_size"))
     linked = kids.join(heavy, "p").select("v", "p", "size", (F.col("v") == F.col("heavy")).alias("is_heavy"), "heavy_size")
     linked = cuts.cut(linked)
     chain = sized.select("v").join(linked.where("is_heavy").select("v", "p"), "v", "left")
     chain = cuts.cut(_resolve(chain, cuts).select("v", F.col("top").alias("head"), F.col("up").alias("at")))
+    cuts.keep_only(before, sized, linked, chain)
     # light siblings, summed in hashed buckets so that a parent of very many children is no single task
     light = linked.where("not is_heavy").withColumn("b", F.pmod(F.xxhash64("v"), F.lit(SIBLING_BUCKETS)))
     inside = F.sum("size").over(Window.partitionBy("p", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))

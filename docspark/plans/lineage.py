@@ -37,6 +37,10 @@ class Cuts:
         self.live.append((out, path))
         return out
 
+    def keep_only(self, before: list, *frames: DataFrame) -> None:
+        """Drops what was cut since `before` (an earlier copy of `live`) but for `frames`."""
+        self.drop(*[df for df, _ in self.live if not any(df is x for x, _ in before) and not any(df is x for x in frames)])
+
     def drop(self, *frames: DataFrame) -> None:
         keep = []
         for df, path in self.live:
