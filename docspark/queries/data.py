@@ -25,25 +25,42 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select("feed", F.col("run").alias("run_no"), full("old_field").alias("old_field"), full("new_field").alias("new_field"), "change").distinct()
 
 
+TOP = ("document_id", "source_type", "schema_version", "source_path", "source_hash", "parser_name", "parser_version")
+OWN = ("element_id", "type", "content", "parent_id", "resource_path", "confidence", "metadata")
+INNER = ("family", "page", "bbox", "paragraph_index", "section", "relationship_id", "line", "section_path", "cell_index", "cell_type")
+#: Document fields that are lists or objects whatever the writer, so that one entry is no sign of a retyped field; the column of each.
+WHOLE = {"warnings": "warnings", "errors": "errors", "metadata": "document_metadata"}
+#: Top-level lists whose entries are rows of their own, not fields of a document.
+LISTS = ("elements", "chunks", "relations")
+
+
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Every element of every payload under consistent names, in one form whatever its writer."""
+    """Every element of every payload with its document's fields, under consistent names, in one form whatever its writer.
+
+    Fields beyond the fixed columns are in the maps document_extra, locator_extra (by consistent name) and element_extra; a field
+    that a payload holds as null is a null there.
+    """
     payloads = _payloads(spark, folder)
     _, names = drift.drift(payloads.select("feed", "run", "v"), NESTED)
     maps = names.groupBy("feed", "run").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("name", "field"))))).alias(alias) for level, alias in (("", "top"), ("elements.source_locator", "inner"))])
     rows = spark.sql("SELECT p.raw_id, p.feed, p.run, cast(p.v AS map<string, variant>) AS doc, e.pos, e.value AS el FROM {p} p, LATERAL variant_explode_outer(try_variant_get(p.v, '$.elements', 'variant')) e", p=payloads)
-    rows = rows.join(maps, ["feed", "run"]).withColumn("loc", F.expr("try_variant_get(el, '$.source_locator', 'map<string, variant>')"))
-
-    def top(name: str) -> F.Column:
-        return F.expr(f"cast({drift.unwrap(f'doc[top[{name!r}]]')} AS string)").alias(name)
-
-    def inner(name: str) -> F.Column:
-        value = f"coalesce(try_variant_get({drift.unwrap(f'loc[inner[{name!r}]]')}, '$', 'string'), to_json(loc[inner[{name!r}]]))"
-        return F.expr(f"nullif({value}, 'null')").alias(name)
-
-    own = [F.expr(f"try_variant_get(el, '$.{c}', 'string')").alias(c) for c in ("element_id", "type", "content", "parent_id")]
-    tops = [top(c) for c in ("document_id", "source_type", "schema_version", "source_path", "source_hash", "parser_name", "parser_version")]
-    inners = [inner(c) for c in ("family", "page", "bbox", "paragraph_index", "section", "relationship_id", "line", "section_path", "cell_index", "cell_type")]
-    return rows.select("raw_id", "feed", F.col("run").alias("run_no"), *tops, F.col("pos").cast("int").alias("ord"), *own, *inners)
+    rows = rows.join(maps, ["feed", "run"]).withColumns({"loc": F.expr("try_variant_get(el, '$.source_locator', 'map<string, variant>')"), "own": F.expr("try_variant_get(el, '$', 'map<string, variant>')")})
+
+    def text(value: str) -> str:
+        return f"nullif(coalesce(try_variant_get({drift.unwrap(value)}, '$', 'string'), to_json({value})), 'null')"
+
+    def extra(held: str, named: str, fixed: tuple[str, ...]) -> F.Column:
+        """The fields of the map `held` under the names of the map `named` (name, field) but for the fixed ones."""
+        rest = f"filter(map_entries({named}), x -> x.key NOT IN ({', '.join(map(repr, fixed))}) AND map_contains_key({held}, x.value))"
+        return F.expr(f"map_from_entries(transform({rest}, x -> struct(x.key, {text(f'{held}[x.value]')})))")
+
+    same = "map_from_entries(transform(map_keys(own), k -> struct(k, k)))"
+    own = [F.expr(f"try_variant_get(el, '$.{c}', 'string')").alias(c) for c in OWN]
+    tops = [F.expr(text(f"doc[top[{c!r}]]")).alias(c) for c in TOP]
+    inners = [F.expr(text(f"loc[inner[{c!r}]]")).alias(c) for c in INNER]
+    extras = [extra("doc", "top", (*TOP, *WHOLE, *LISTS)).alias("document_extra"), extra("loc", "inner", INNER).alias("locator_extra"), extra("own", same, (*OWN, "source_locator")).alias("element_extra")]
+    whole = [F.expr(f"nullif(try_variant_get(doc[top[{c!r}]], '$', 'string'), 'null')").alias(alias) for c, alias in WHOLE.items()]
+    return rows.select("raw_id", "feed", F.col("run").alias("run_no"), *tops, *whole, F.col("pos").cast("int").alias("ord"), *own, *inners, *extras)
 
 
 def _references(spark: SparkSession, folder: str) -> DataFrame:
