@@ -187,7 +187,7 @@ def first_pass(role: str, block: str, touched: bool) -> str:
     if links > LINKS and words > SHORT:
         return "residue"
     if role in ("heading", "list", "table") or words < LONG:
-        return "short" if words else "residue"
+        return "short" if words or any(map(str.isalnum, block)) else "residue"  # figures alone are content
     return "text" if stops >= STOP_HIGH else "doubtful" if stops >= STOP_LOW else "residue" if words > 3 * LONG and links > 0.2 else "doubtful"
 
 

@@ -240,6 +240,22 @@ def test_second_pass():
     assert markup.second_pass(["short"]) == ["text"] and markup.second_pass([]) == []
 
 
+@pytest.mark.parametrize(
+    "text,kept",
+    [
+        ("Sales by year and office.\n{|\n! Year !! Sum\n|-\n| 12 || 34\n|-\n| 56 || 78\n|}", ["12 | 34", "56 | 78"]),
+        ("<p>The years are</p><ul><li>2024</li><li>2025</li></ul>", ["- 2024", "- 2025"]),
+        ("<p>The sums are</p><table><tr><td>12</td><td>34</td></tr></table>", ["12", "34"]),
+        ("The answers are\n\\begin{itemize}\n\\item 42\n\\end{itemize}", ["42"]),
+        ("The text before it.\n== 3.2 ==\nThe text after it.", ["# 3.2"]),
+    ],
+)
+def test_figures_alone_are_content(text, kept):
+    clean = markup.analyse(text)[1]
+    assert all(x in clean for x in kept), clean
+    assert markup.first_pass("table", "| - | - |", True) == "residue"
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "k"), (2, None, "k"), (3, "plain", "k"), (4, "", "k")], "id int, content string, kinds string")
     assert {r.id: list(r.kinds) for r in markup.kinds_of(df.drop("kinds"), ["id"], "content").collect()} == {1: ["html"], 2: [], 3: [], 4: []}
