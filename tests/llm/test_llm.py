@@ -303,3 +303,13 @@ def test_held_out_cuts(spark):
     assert set(got) == set(range(600)) | {1003}
     assert len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 0.02 * 600
     assert truncation.truncated(df.limit(0), "doc_id", "text", "lang", "source").count() == 0
+
+
+def test_thresholds_by_language_and_kind(spark):
+    """From the ends of all texts the model hasn't seen, long lines and lone lines among them."""
+    assert list(truncation.unit_ends("- a b\nOne. Two")) == [(5, "list"), (9, "prose")]
+    assert len(list(truncation.unit_ends("Word here. " * 1000))) == 999
+    rows = [(n, f"- item {n % 7}\n- thing {n % 5}\nThe sheet {n % 9} is here. It is row {n % 4} there.", "en") for n in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = truncation.fit(df, "doc_id", "text", "lang", sample=50)
+    assert {("en", "list"), ("en", "prose")} <= set(model.thresholds) and model.threshold("xx", "code") == model.thresholds["*", "prose"]
