@@ -305,6 +305,13 @@ def test_held_out_cuts(spark):
     assert truncation.truncated(df.limit(0), "doc_id", "text", "lang", "source").count() == 0
 
 
+def test_log_odds_decide(spark):
+    """Prose without a mark that ends by the model is whole; a complete form far from any end is cut without a limit."""
+    rows = [(1, "prose", False, 2.0), (2, "prose", False, -9.0), (3, "prose", True, -15.0), (4, "prose", True, -5.5), (5, "list", False, -4.0), (6, "caption", False, -7.0), (7, "table", False, 3.0)]
+    df = spark.createDataFrame([(k, kind, whole, "", s, -5.0, 300 + k, 300 + k, k, "s") for k, kind, whole, s in rows], truncation.FINAL)
+    assert {r.key for r in truncation.judge(df).where("cut").collect()} == {2, 3, 6, 7}
+
+
 def test_thresholds_by_language_and_kind(spark):
     """From the ends of all texts the model hasn't seen, long lines and lone lines among them."""
     assert list(truncation.unit_ends("- a b\nOne. Two")) == [(5, "list"), (9, "prose")]
