@@ -260,6 +260,15 @@ def chunk_preservation(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.length(T.squeeze(F.array_join("chunks.text", " "))).cast("long").alias("visible"))
 
 
+@query()
+def chunk_preservation_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document, read as plain text and as Markdown, the visible characters of its elements and of its chunks."""
+    path = F.explode(F.array(*[F.concat(F.lit("in/"), "doc_id", F.lit(e)) for e in (".txt", ".md")])).alias("path")
+    rows = pipeline.documents(pipeline.from_texts(table(spark, folder, "documents").select("doc_id", "text", path), "text", "path"), "text", None)
+    visible = lambda c: F.length(T.squeeze(F.array_join(c, " "))).cast("long")
+    return rows.where("chunks is not null").select("doc_id", "source_type", visible("elements.content").alias("in_elements"), visible("chunks.text").alias("in_chunks"))
+
+
 @query()
 def chunk_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Long-text split of every element of the elements table, at 800 characters."""

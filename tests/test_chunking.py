@@ -64,3 +64,14 @@ def test_column(spark):
     assert [c.text for c in got["d"]] == ["H", "é" * 40, "é" * 40, "é" * 20] and got["n"] == [] and got["z"] == []
     with pytest.raises(ValueError):
         chunk(df, "elements", "document_id", "source_type", 31)
+
+
+def test_preservation_of_every_document(spark, tmp_path):
+    from docspark.queries import reference
+
+    texts = {1: "# Head\n\nOne two. " + "Three four. " * 200, 2: "# Head\n\nOne two.\n\n- a\n- b\n\nLast line", 3: "plain", 4: None, 5: "  "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = reference.chunk_preservation_all(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.source_type) for r in rows} == {(n, t) for n in (1, 2, 3) for t in ("text", "markdown")}
+    assert all(r.in_chunks == r.in_elements for r in rows), rows
+    assert all(r.in_elements == len("".join(texts[r.doc_id].split())) for r in rows if r.source_type == "text")
