@@ -69,3 +69,10 @@ def test_deep_and_empty(spark):
     df = spark.createDataFrame([(1, "{}"), (2, deep)], "raw_id long, payload string")
     assert sorted(r.record for r in nesting.flatten(df, "raw_id", "payload").collect())[0] == 1
     assert nesting.flatten(df.limit(0), "raw_id", "payload").count() == 0
+
+
+def test_unreadable_payloads_are_listed(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    df = spark.createDataFrame([(1, "{}"), (2, "no json"), (3, deep), (4, None)], "raw_id long, payload string")
+    assert {(r.record, r.reason) for r in nesting.unreadable(df, "raw_id", "payload").collect()} == {(2, "no_json"), (3, "too_deep")}
+    assert {r.record for r in nesting.flatten(df, "raw_id", "payload").collect()} == {1}
