@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,31 +128,25 @@ def heading_order(df: DataFrame, found: str, truth: str) -> DataFrame:
 def boundaries(texts: list[str] | None, anchors: list[dict] | None, tolerance: int = TOLERANCE) -> dict:
     """Ends of chunks (but the last) against anchors (marker, position) in the joined text: predicted, truth, matched, missing.
 
-    Only the first occurrence of a marker counts, as it stands. Pairs within the tolerance match one to one, the nearest first.
+    Ends are sums of lengths, as chunks are joined by one space; a blank chunk ends where the one before it does. Only the first
+    occurrence of a marker counts, as it stands. Pairs within the tolerance match one to one, the nearest first; only ends in the
+    window around an anchor are paired with it.
     """
     texts = [" ".join((t or "").split()) for t in texts or []]
-    stream, at, ends = " ".join(" ".join(texts).split()), 0, []
-    for t in texts[:-1]:
-        here = stream.find(t, at)
-        if here < 0:
-            at += len(t) + 1
-        else:
-            ends.append(here + len(t))
-            at = here + len(t) + 1
-    truth, missing = [], []
-    for a in anchors or []:
-        here = stream.find(a["marker"] or "")
-        if here < 0:
-            missing.append(a["marker"])
-        else:
-            truth.append(here if a["position"] == "before" else here + len(a["marker"] or ""))
-    near = sorted((abs(p - g), i, j) for i, p in enumerate(ends) for j, g in enumerate(truth) if abs(p - g) <= tolerance)
-    left, right = set(), set()
-    for _, i, j in near:
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-    return {"predicted": len(ends), "truth": len(truth), "matched": len(left), "missing": missing}
+    stream = " ".join(filter(None, texts))
+    ends = [e - 1 if e else 0 for e in itertools.accumulate(len(t) + 1 if t else 0 for t in texts[:-1])]  # in order
+    places = [(stream.find(m), m, a["position"]) for a in anchors or [] for m in [a["marker"] or ""]]
+    truth = [at if position == "before" else at + len(m) for at, m, position in places if at >= 0]
+    pairs = []
+    for j, goal in enumerate(truth):
+        window = range(bisect.bisect_left(ends, goal - tolerance), bisect.bisect_right(ends, goal + tolerance))
+        pairs += ((abs(ends[i] - goal), i, j) for i in window)
+    free_ends, free_goals = set(range(len(ends))), set(range(len(truth)))
+    for _, i, j in sorted(pairs):
+        if i in free_ends and j in free_goals:
+            free_ends.remove(i)
+            free_goals.remove(j)
+    return {"predicted": len(ends), "truth": len(truth), "matched": len(ends) - len(free_ends), "missing": [m for at, m, _ in places if at < 0]}
 
 
 BOUNDARY = "struct<predicted:int,truth:int,matched:int,missing:array<string>>"

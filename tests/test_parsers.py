@@ -1,12 +1,15 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from docspark.functions import geometry
 from docspark.functions.tables import linearize, pipe_cells, python_cells, python_linearize
 from docspark.parsers import docx, html, markdown, notebook, pages
-from docspark.parsers.base import guarded
+from docspark.parsers.base import guarded, parse_column
 
 
 def flat(out):
@@ -46,11 +49,11 @@ def test_markdown_edges(text, codes, content):
 
 
 def test_front_matter_and_tasks():
-    out = markdown.parse_enhanced('---\ntitle: 标题A\nauthor: "作者B"\nn: 42\nlist: [1]\n  bad\nempty:\n---\n- [x] done\n- [ ] open\n- plain', "d")
-    assert out.metadata == {"markdown": True, "title": "标题A", "author": "作者B", "n": "42"}
+    out = markdown.parse_enhanced("---\nship: Möwe\nport: 'Kiel: Nord'\ncrew: 7\nstops:\n  - Kiel\nholds: {a: 1}\n---\n- [X] loaded\n- [ ] sealed\n- neither", "d")
+    assert out.metadata == {"markdown": True, "ship": "Möwe", "port": "Kiel: Nord", "crew": "7"}
     assert [w["code"] for w in out.warnings] == ["frontmatter_value_skipped", "frontmatter_line_skipped", "frontmatter_value_skipped"]
-    assert [(e["content"], meta(e).get("checked")) for e in out.elements] == [("done", True), ("open", False), ("plain", None)]
-    assert flat(markdown.parse_enhanced("---\nopen: 1", "d")) == [("paragraph", "open: 1")]
+    assert [(e["content"], meta(e).get("checked")) for e in out.elements] == [("loaded", True), ("sealed", False), ("neither", None)]
+    assert flat(markdown.parse_enhanced("---\nnever: closed", "d")) == [("paragraph", "never: closed")]
 
 
 def test_html_blocks():
@@ -62,15 +65,18 @@ def test_html_blocks():
 
 
 def test_html_tables():
-    out = html.parse("<table><tr><th>A<th>B</tr><tr><td>x|y<td></tr></table>", "d")
-    assert flat(out) == [("table", "| A | B |\n| --- | --- |\n| x\\|y |  |")] and meta(out.elements[0])["table_index"] == 0
-    out = html.parse("<table><tr><td>OUTER <table><tr><td>INNER</td></tr></table> POST</td></tr></table>", "d")
-    assert flat(out) == [("paragraph", "OUTER"), ("table", "| INNER |\n| --- |"), ("paragraph", "POST"), ("table", "|  |\n| --- |")]
-    assert [w["code"] for w in out.warnings] == ["html_nested_table"] and [meta(e).get("position") for e in out.elements] == ["before_inner_table", None, "after_inner_table", None]
-    deep = "<table><tr><td>1<table><tr><td>2<table><tr><td>3</td></tr></table></td></tr></table></td></tr></table>"
-    out = html.parse(deep, "d")
-    assert [e["type"] for e in out.elements].count("table") == 3 and len(out.warnings) == 2
-    assert html.parse("<table><tr><td>open", "d").elements == [] and html.parse("<meta><p>gone</p>", "d").elements == []
+    out = html.parse("<table><tr><th>Pier<th>Depth</tr><tr><td>a|b<td></tr><tr><td>c</td></tr></table>", "d")
+    assert flat(out) == [("table", "| Pier | Depth |\n| --- | --- |\n| a\\|b |  |\n| c |  |")] and meta(out.elements[0])["table_index"] == 0
+    out = html.parse("<p>top</p><table><tr><td>quay <table><tr><th>buoy</th><th>light</th></tr><tr><td>1</td><td>red</td></tr></table> crane</td><td>shed</td></tr></table><p>end</p>", "d")
+    assert flat(out) == [("paragraph", "top"), ("paragraph", "quay"), ("table", "| buoy | light |\n| --- | --- |\n| 1 | red |"), ("paragraph", "crane"), ("table", "|  | shed |\n| --- | --- |"), ("paragraph", "end")]
+    assert [w["code"] for w in out.warnings] == ["html_nested_table"] and [meta(e).get("position") for e in out.elements] == [None, "before_inner_table", None, "after_inner_table", None, None]
+    rings = "x"
+    for n in range(4):
+        rings = f"<table><tr><td>ring{n} {rings}</td></tr></table>"
+    out = html.parse(rings, "d")
+    text = " ".join(e["content"] for e in out.elements)
+    assert [e["type"] for e in out.elements].count("table") == 4 and len(out.warnings) == 3 and all(text.count(f"ring{n}") == 1 for n in range(4))
+    assert html.parse("<table><tr><td>never closed", "d").elements == [] and html.parse("<meta><p>gone</p>", "d").elements == []
 
 
 def book(**more):
@@ -89,13 +95,14 @@ def test_notebook():
     assert meta(out.elements[2]) == {"kind": "code_cell", "language": "python"} and out.metadata["cell_count"] == 8
 
 
-@pytest.mark.parametrize(
-    "text,code",
-    [("{", "ipynb_invalid_json"), ("[]", "ipynb_bad_structure"), ("{}", "ipynb_bad_structure"), (book(nbformat="4"), "ipynb_bad_structure"), (book(nbformat=True), "ipynb_bad_structure"), (book(nbformat=4.0), "ipynb_bad_structure"),
-     (book(nbformat=3), "ipynb_unsupported_version"), (book(nbformat=5), "ipynb_unsupported_version"), (book(nbformat_minor=-1), "ipynb_bad_structure"), (book(cells={"a": 1}), "ipynb_bad_structure")],
-)
-def test_notebook_errors(text, code):
-    assert guarded(notebook.parse)(text, "d")["error"]["code"] == code
+@pytest.mark.parametrize("change", [{"nbformat": v} for v in (None, "four", [4], False, 4.5)] + [{"nbformat_minor": v} for v in (-3, "5", None, True)] + [{"cells": v} for v in ("none", {"a": 1}, 7)], ids=str)
+def test_notebook_structure(change):
+    assert guarded(notebook.parse)(book(**change), "d")["error"]["code"] == "ipynb_bad_structure"
+
+
+def test_notebook_versions_and_json():
+    assert {n for n in range(1, 9) if (guarded(notebook.parse)(book(nbformat=n), "d")["error"] or {}).get("code") == "ipynb_unsupported_version"} == {1, 2, 3, 5, 6, 7, 8}
+    assert [guarded(notebook.parse)(t, "d")["error"]["code"] for t in ("not json", "7", '"book"')] == ["ipynb_invalid_json", "ipynb_bad_structure", "ipynb_bad_structure"]
 
 
 def package(body, styles="", rels=""):
@@ -120,8 +127,9 @@ def test_docx():
     assert guarded(pages.parse)(b"%PDF", "d")["error"]["code"] == "pdfplumber_unavailable"
 
 
-def word(text, x, y, h=10, chars=None):
-    return {"text": text, "x0": float(x), "x1": x + 10.0, "top": float(y), "bottom": float(y + h), "chars": chars}
+def word(text, x, y, h=10, w=10.0, chars=True):
+    b = {"x0": float(x), "x1": x + w, "top": float(y), "bottom": float(y + h)}
+    return {"text": text, **b, "chars": [b] if chars else None}
 
 
 def test_lines_and_paragraphs():
@@ -129,22 +137,71 @@ def test_lines_and_paragraphs():
     lines = pages.group_lines(words)
     assert [(x["text"], x["paragraph"]) for x in lines] == [("a b", 0), ("c", 0), ("Figure 1: x", 1)] and lines[0]["bbox"] == [0.0, 0.0, 30.0, 11.0]
     assert pages.caption_words(words) == [3, 4] and pages.group_lines(None) == []
-    left, out = pages.promote_captions(pages.group_lines([word("text", 0, 0), word("Table 2: t", 0, 11)]))
-    assert [x["text"] for x in left] == ["text"] and [x["text"] for x in out] == ["Table 2: t"]
+    flat_words = [word(str(n), 0, 12 * n, 0 if n < 2 else 10) for n in range(5)]  # heights of 0 count in the median
+    assert [x["paragraph"] for x in pages.group_lines(flat_words)] == [0, 0, 0, 0, 0] and [x["paragraph"] for x in pages.group_lines(flat_words[:3])] == [0, 1, 2]
 
 
-def test_absorption():
-    middle = lambda x, y: {"x0": x - 1.0, "x1": x + 1.0, "top": y - 1.0, "bottom": y + 1.0}
-    table = {"bbox": [0.0, 0.0, 100.0, 100.0], "cells": [[0.0, 0.0, 50.0, 100.0]]}
-    words = [word("in", 10, 10, chars=[middle(12, 15)]), word("edge", 45, 10, chars=[middle(50, 15)]), word("none", 10, 30), word("Table 1:", 10, 50, chars=[middle(12, 55)])]
-    assert pages.absorbed(words, [table]) == [0, -1, -1, -1]
+def test_captions_in_paragraphs():
+    line = lambda text, y, x1=90.0: {"text": text, "bbox": [0.0, y, x1, y + 10.0], "paragraph": 0}
+    lines = [line("The depth is in", 0.0), line("Fig. ２: depth", 11.0), line("and more", 22.0), line("Table 3: no area", 33.0, 0.0), line("Figure 2: again", 11.0)]
+    stay, out = pages.split_captions(lines, [])
+    assert [x["text"] for x in stay] == ["The depth is in", "and more", "Table 3: no area"] and [x["text"] for x in out] == ["Fig. ２: depth"]
+    assert pages.split_captions(lines, [([0.0, 0.0, 200.0, 200.0], "figure:2")])[1] == []
+    assert [pages.label(t) for t in ("图１２：x", "Fig 7.", "表格 3", "none")] == ["figure:12", "figure:7", "table:3", None]
+
+
+def slow_clusters(shapes):
+    """Joins any two near boxes until none are left."""
+    boxes = [([s["x0"], s["top"], s["x1"], s["bottom"]], s["curve"]) for s in shapes if s["x1"] > s["x0"] and s["bottom"] > s["top"]]
+    while True:
+        pair = next(((i, j) for i in range(len(boxes)) for j in range(i) if pages.apart(boxes[i][0], boxes[j][0]) <= 15), None)
+        if not pair:
+            return sorted(b for b, c in boxes if c and b[2] - b[0] >= 100 and b[3] - b[1] >= 100)
+        (a, c), (b, d) = boxes.pop(pair[0]), boxes.pop(pair[1])
+        boxes.append((pages.hull([a, b]), c or d))
 
 
 def test_vector_clusters():
     shape = lambda x, y, w, h, c=False: {"x0": float(x), "x1": float(x + w), "top": float(y), "bottom": float(y + h), "curve": c}
-    assert pages.vector_clusters([shape(0, 0, 60, 120, True), shape(70, 0, 60, 120)]) == [[0.0, 0.0, 130.0, 120.0]]
-    assert pages.vector_clusters([shape(0, 0, 200, 200)]) == [] and pages.vector_clusters([shape(0, 0, 99, 200, True)]) == [] and pages.vector_clusters([shape(0, 0, 200, 0, True)]) == []
-    assert pages.vector_clusters(None) == []
+    rnd = random.Random(5)
+    for _ in range(150):
+        shapes = [shape(rnd.randrange(600), rnd.randrange(600), rnd.randrange(90), rnd.randrange(90), rnd.random() < 0.3) for _ in range(rnd.randrange(30))]
+        assert sorted(pages.vector_clusters(shapes)) == slow_clusters(shapes)
+    assert pages.vector_clusters(None) == [] and pages.vector_clusters([shape(0, 0, 200, 200)]) == [] and pages.vector_clusters([shape(0, 0, 100, 100, True)]) == [[0.0, 0.0, 100.0, 100.0]]
+
+
+def test_page_composition(spark):
+    cells = [[float(x), float(y), x + 100.0, y + 20.0] for y in (200, 220) for x in (0, 100)]
+    table = {"bbox": [0.0, 200.0, 200.0, 240.0], "cells": cells, "rows": [["Pier", "Depth"], ["n|1", None]]}
+    thin = {"bbox": [0.0, 400.0, 50.0, 420.0], "cells": [[0.0, 400.0, 50.0, 420.0]], "rows": [["x"]]}
+    words = [word(t, x, y, w=len(t) * 5.0) for t, x, y in (("Tides", 0, 0), ("The", 0, 40), ("ebb.", 30, 40), ("Table", 0, 51), ("1:", 40, 51), ("depth", 60, 51), ("It", 0, 62), ("ends.", 20, 62), ("Pier", 5, 205), ("Depth", 105, 205), ("n|1", 5, 225), ("0", 105, 225), ("x", 5, 405))]
+    image = {"x0": 150.0, "x1": 350.0, "top": 230.0, "bottom": 330.0, "tag": "Im1"}
+    shapes = [{"x0": 300.0, "x1": 420.0, "top": 500.0, "bottom": 640.0, "curve": True}]
+    page = {"page": 2, "width": 600.0, "height": 800.0, "words": words, "tables": [thin, table], "images": [image, {**image, "x1": 0.0}], "shapes": shapes}
+    first = {"page": 1, "width": 600.0, "height": 800.0, "words": [word("Figure 4: first", 0, 0, w=80.0)], "tables": None, "images": None, "shapes": None}
+    out = pages.compose([page, first], "d")
+    assert flat(out) == [
+        ("caption", "Figure 4: first"), ("heading", "Tides"), ("caption", "Table 1: depth"), ("paragraph", "The ebb. It ends."), ("heading", "x"), ("table", "| Pier | Depth |\n| --- | --- |\n| n\\|1 |  |"), ("image", None), ("image", None),
+    ]
+    assert [e["source_locator"]["page"] for e in out.elements] == [1] + [2] * 7 and out.elements[2]["source_locator"]["bbox"] == [0.0, 51.0, 85.0, 61.0]
+    assert [w["code"] for w in out.warnings] == ["table_figure_partial_overlap"] and meta(out.elements[6])["tag"] == "Im1" and meta(out.elements[7])["kind"] == "vector_cluster"
+    covered = pages.compose([{**page, "images": [{**image, "x0": 0.0, "top": 200.0}]}], "d")
+    assert "table" not in [e["type"] for e in covered.elements] and any("Depth" in (e["content"] or "") for e in covered.elements)
+    assert [w["code"] for w in pages.compose([], "d").warnings] == ["pdf_no_text_extracted"]
+    df = spark.createDataFrame([("d", [first, page]), ("e", None)], f"document_id string, pages array<{pages.PAGE}>")
+    got = {r.document_id: r.parsed for r in parse_column(df, "pages", "document_id", pages.compose).collect()}
+    assert len(got["d"].elements) == 8 and got["e"] is None
+
+
+def test_gate_is_that_of_columns(spark):
+    rnd, rows = random.Random(3), []
+    some = lambda n: [[x, y, x + rnd.randrange(1, 150), y + rnd.randrange(1, 150)] for x, y in ((float(rnd.randrange(80)), float(rnd.randrange(80))) for _ in range(n))]
+    for n in range(200):
+        rows.append((n, [0.0, 0.0, 100.0, 100.0], rnd.randrange(1, 5), rnd.randrange(4, 8), rnd.randrange(3, 20), some(rnd.randrange(2)), some(rnd.randrange(3)), rnd.choice([0.0, 3000.0, 20000.0])))
+    df = spark.createDataFrame(rows, "n int, b array<double>, r int, c int, w int, raster array<array<double>>, vector array<array<double>>, page double")
+    got = df.select("n", geometry.table_gate_override("b", *map(F.col, "rcw"), "raster", "vector", F.col("page")).alias("g")).orderBy("n").collect()
+    want = [pages.gate(*r[1:]) for r in rows]
+    assert [(g.g.accepted, g.g.fraction) for g in got] == [(a, s if a and s > 0 else None) for a, s, _, _ in want] and {a for a, *_ in want} == {True, False}
 
 
 def test_tables_agree(spark):

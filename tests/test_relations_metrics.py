@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -53,10 +54,28 @@ def test_references(spark):
     assert relations.all_relations(own.limit(0)).count() == 0
 
 
+def slow_boundaries(texts, anchors, tolerance):
+    stream, ends = " ".join(texts), [len(" ".join(texts[:n])) for n in range(1, len(texts))]
+    truth = [stream.index(a["marker"]) + len(a["marker"]) * (a["position"] != "before") for a in anchors if a["marker"] in stream]
+    free, goals, matched = dict(enumerate(ends)), dict(enumerate(truth)), 0
+    for d in range(tolerance + 1):
+        for i in sorted(free):
+            for j in sorted(goals):
+                if i in free and j in goals and abs(free[i] - goals[j]) == d:
+                    del free[i], goals[j]
+                    matched += 1
+    return matched
+
+
 def test_boundaries():
-    assert metrics.boundaries(["A B", "C"], [{"marker": "B", "position": "before"}], 5) == {"predicted": 1, "truth": 1, "matched": 1, "missing": []}
-    assert metrics.boundaries(["A" * 10, "B"], [{"marker": "B", "position": "before"}], 0)["matched"] == 0
+    rnd = random.Random(4)
+    for _ in range(200):
+        texts = [" ".join("".join(rnd.choice("abc") for _ in range(3)) for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(1, 9))]
+        anchors = [{"marker": "".join(rnd.choice("abc") for _ in range(3)), "position": rnd.choice(["before", "after", None])} for _ in range(rnd.randrange(6))]
+        got = metrics.boundaries(texts, anchors, tolerance := rnd.randrange(12))
+        assert got["matched"] == slow_boundaries(texts, anchors, tolerance) and got["predicted"] == len(texts) - 1 and got["truth"] + len(got["missing"]) == len(anchors)
     assert metrics.boundaries(None, [{"marker": "x", "position": "after"}]) == {"predicted": 0, "truth": 0, "matched": 0, "missing": ["x"]}
+    assert metrics.boundaries([" a ", None, "b"], [{"marker": "b", "position": "before"}], 1) == {"predicted": 2, "truth": 1, "matched": 1, "missing": []}
 
 
 def test_order_and_prf(spark):
