@@ -267,14 +267,28 @@ def test_markup_rows(spark):
 
 
 @pytest.mark.parametrize(
-    "text,kind,complete",
+    "text,state",
     [
-        ("A whole sentence.", "prose", True), ("A sentence that", "prose", False), ("Quote.)\n", "prose", True), ("x\n- item", "list", False), ("Figure 3: caption", "caption", False), ("t\n| a | b |\n| - | - |\n| c | d |", "table", True),
-        ("t\n| a | b |\n| - | - |\n| c |", "table", False), ("| a | b |\n| c | d", "table", False), ("| a | b | c |\n| - | - | - |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| a | b |\n| --- | --- |\n| 1 | 2 |", "table", True), ("```\nx\n```", "code", True), ("```\nx = 1", "code", False), ("Records desk Xy, 2024-05-01", "signature", True), ("Page 5 of 17", "page", True), ("完整。", "prose", True), ("不完", "prose", False),
+        ("A whole sentence.", "PROSE"), ("x\n- item", "ITEM"), ("Figure 3: caption", "LABEL"), ("t\n| a | b |\n| - | - |\n| c | d |", "ROW"), ("t\n| a | b |\n| - | - |\n| c |", "PART"), ("| a | b |\n| c | d", "PART"),
+        ("| a | b | c |\n| - | - | - |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| a | b |\n| --- | --- |\n| 1 | 2 |", "ROW"), ("| a |\n|", "PART"), ("```py\nx = 1", "OPEN"), ("```\nx\n```", "SHUT"), ("```\nx\n``", "OPEN"),
+        ("Yours\nQuay team, 2024-01-02", "SIGNED"), ("On the quay, 2024-01-02 it rained", "PROSE"), ("Page 3 of 12", "PAGED"), ("第 3 页，共 9 页", "PAGED"), ("| a | b\\|", "PART"),
     ],
 )
-def test_last_line(text, kind, complete):
-    assert truncation.last_line(text)[:2] == (kind, complete)
+def test_states(text, state):
+    """The state of a text's end, and that training sees the same one there, whatever else is in the line."""
+    *_, (body, kind, head) = truncation.lines(text)
+    assert truncation.last_state(body, kind, head) == getattr(truncation, state) == truncation.states(body, kind, head)[-1]
+
+
+def test_contexts_are_the_same_in_training_and_scoring():
+    text = "Short\n- item 12 of 7\nA longer line of prose, in 2024 and (later).) He said so.\n| a | b |\n| - | - |\n| cell | 12 |\n```\ncode\n```\nend"
+    trained = [h[:, -1].tolist() for h, _, _ in truncation.training(text)]
+    every = list(truncation.lines(text))
+    scored = truncation.tails([b for b, _, _ in every], [truncation.last_state(*x) for x in every]).T.tolist()
+    assert len(trained) == len(scored) == 10 and trained[:-1] == scored[:-1] and trained[-1] == scored[-1][:1]
+    assert truncation.canonical('on 12 May 2024 (he said "yes.")') == "on 0 May 0 (he said \"yes."
+    ends = [sum(e) for _, e, _ in truncation.training("One. Two three\n- a, b\n```\nx\n```\nlast")]
+    assert ends == [2, 1, 0, 0, 1, 1]
 
 
 def test_held_out_cuts(spark):
@@ -305,18 +319,58 @@ def test_held_out_cuts(spark):
     assert truncation.truncated(df.limit(0), "doc_id", "text", "lang", "source").count() == 0
 
 
+def final(key, kind="prose", ends=5.0, letter=None, stops=5.0, suffix="", chars=None, source="s"):
+    n = chars or 1000 + 37 * key
+    return (key, "en", kind, suffix, ends, ends if letter is None else letter, stops, n, n, key, source, None, None, None)
+
+
 def test_log_odds_decide(spark):
-    """Prose without a mark that ends by the model is whole; a complete form far from any end is cut without a limit."""
-    rows = [(1, "prose", False, 2.0), (2, "prose", False, -9.0), (3, "prose", True, -15.0), (4, "prose", True, -5.5), (5, "list", False, -4.0), (6, "caption", False, -7.0), (7, "table", False, 3.0)]
-    df = spark.createDataFrame([(k, kind, whole, "", s, -5.0, 300 + k, 300 + k, k, "s") for k, kind, whole, s in rows], truncation.FINAL)
-    assert {r.key for r in truncation.judge(df).where("cut").collect()} == {2, 3, 6, 7}
-
-
-def test_thresholds_by_language_and_kind(spark):
-    """From the ends of all texts the model hasn't seen, long lines and lone lines among them."""
-    assert list(truncation.unit_ends("- a b\nOne. Two")) == [(5, "list"), (9, "prose")]
-    assert len(list(truncation.unit_ends("Word here. " * 1000))) == 999
-    rows = [(n, f"- item {n % 7}\n- thing {n % 5}\nThe sheet {n % 9} is here. It is row {n % 4} there.", "en") for n in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = truncation.fit(df, "doc_id", "text", "lang", sample=50)
-    assert {("en", "list"), ("en", "prose")} <= set(model.thresholds) and model.threshold("xx", "code") == model.thresholds["*", "prose"]
+    """Whatever the form: low odds are a cut, high odds are none; the last letter counts in prose, items and captions alone."""
+    texts = [final(1, ends=2.0), final(2, ends=-9.0), final(3, stops=-9.0), final(4, "list", ends=-4.0), final(5, "list", ends=-9.0), final(6, "table", ends=-3.0), final(7, "table", stops=-9.0), final(8, "code", ends=3.0), final(9, ends=9.0, suffix="\ufffd", letter=5.0)]
+    counts = [(None, "en", k, *[None] * 8, w, step, n) for k in ("prose", "list") for w in ("ends", "stops") for step, n in ((-100, 20), (0, 2000))]
+    got = {r.key for r in truncation.judge(spark.createDataFrame(texts + counts, truncation.FINAL)).where("cut").collect()}
+    assert got == {2, 3, 5, 6, 9}
+
+
+def test_thresholds_are_exact(spark):
+    counts = [(None, tag, "prose", *[None] * 8, "ends", step, n) for tag, rows in (("en", [(-100, 4), (-99, 3), (5, 993)]), ("de", [(-40, 100), (0, 100)])) for step, n in rows]
+    got = {(r.tag, r.kind): (r.low_ends, r.low_stops) for r in truncation.thresholds(spark.createDataFrame(counts, truncation.FINAL)).collect()}
+    assert got == {("en", "prose"): (pytest.approx(-99 * truncation.STEP), None), ("*", "prose"): (pytest.approx(-99 * truncation.STEP), None)}
+
+
+def test_limits_of_any_size(spark):
+    """A limit of 40 characters is found, and raises what is asked for there by the excess of texts."""
+    rnd = random.Random(3)
+    rows = [final(n, chars=40, ends=1.0) for n in range(60)] + [final(100 + n, chars=rnd.randrange(20, 400), ends=1.0) for n in range(40)] + [final(200 + n, chars=rnd.randrange(20, 400), ends=1.0, source="t") for n in range(40)]
+    df = spark.createDataFrame(rows, truncation.FINAL)
+    assert {(r.source, r.size) for r in truncation.limits(df).where("unit = 'chars'").collect()} == {("s", 40)}
+    assert {r.key for r in truncation.judge(df).where("cut").collect() if r.key < 100} == set(range(60)) and truncation.judge(df).where("cut and source = 't'").count() == 0
+
+
+def prose(spark, n=260):
+    rnd = random.Random(12)
+    noun = lambda: rnd.choice(["sheet", "harbour gate", "valve", "pump", "ledger"])
+    sentence = lambda: f"The {noun()} {rnd.choice(['covers', 'opens', 'holds'])} the {noun()} {rnd.choice(['today', 'on page 7', 'at noon'])}."
+    rows = [(i, "\n".join(" ".join(sentence() for _ in range(rnd.randrange(1, 3))) for _ in range(6))[: None if i % 13 else rnd.randrange(80, 160)], "en") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+
+
+def test_the_same_rows_whatever_the_layout(spark):
+    df = prose(spark)
+    models = [truncation.fit(x, "doc_id", "text", "lang", 60) for x in (df.repartition(1), df.repartition(7), df.orderBy("text"))]
+    assert all((m.keys == models[0].keys).all() and (m.n == models[0].n).all() and (m.counts["ends"] == models[0].counts["ends"]).all() for m in models)
+    cut = [{r.doc_id for r in truncation.truncated(x, "doc_id", "text", "lang", "source").where("cut").collect()} for x in (df.repartition(1), df.repartition(7))]
+    assert cut[0] == cut[1] and len(cut[0]) >= 12
+
+
+def test_nothing_is_cut_without_the_model(spark):
+    df, m = prose(spark), truncation.fit(prose(spark), "doc_id", "text", "lang")
+
+    class Sure(truncation.Model):
+        def log_odds(self, contexts, what="ends"):
+            return np.full(contexts.shape[1], 4.0)
+
+    assert truncation.truncated(df, "doc_id", "text", "lang", "source", Sure(m.keys, m.n, *m.counts.values())).where("cut").count() == 0
+    assert truncation.truncated(df, "doc_id", "text", "lang", "source", m).where("cut").count() >= 12
+    long = spark.createDataFrame([(1, "The sheet opens. " * 20_000, "en", "s"), (2, "x" * 200_000, None, None), (3, "\ud83d".encode("utf-8", "replace").decode(), "en", "s")], "doc_id long, text string, lang string, source string")
+    assert truncation.truncated(long, "doc_id", "text", "lang", "source").count() == 3
