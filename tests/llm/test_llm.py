@@ -326,7 +326,7 @@ def final(key, kind="prose", ends=5.0, letter=None, stops=5.0, suffix="", chars=
 
 def test_log_odds_decide(spark):
     """Whatever the form: low odds are a cut, high odds are none; the last letter counts in prose, items and captions alone."""
-    texts = [final(1, ends=2.0), final(2, ends=-9.0), final(3, stops=-9.0), final(4, "list", ends=-4.0), final(5, "list", ends=-9.0), final(6, "table", ends=-3.0), final(7, "table", stops=-9.0), final(8, "code", ends=3.0), final(9, ends=9.0, suffix="\ufffd", letter=5.0)]
+    texts = [final(1, ends=2.0), final(2, ends=-9.0), final(3, stops=-19.0), final(4, "list", ends=-4.0), final(5, "list", ends=-9.0), final(6, "table", ends=-3.0), final(7, "table", stops=-19.0), final(8, "code", ends=3.0), final(9, ends=9.0, suffix="\ufffd", letter=5.0)]
     counts = [(None, "en", k, *[None] * 8, w, step, n) for k in ("prose", "list") for w in ("ends", "stops") for step, n in ((-100, 20), (0, 2000))]
     got = {r.key for r in truncation.judge(spark.createDataFrame(texts + counts, truncation.FINAL)).where("cut").collect()}
     assert got == {2, 3, 5, 6, 9}
@@ -339,12 +339,14 @@ def test_thresholds_are_exact(spark):
 
 
 def test_limits_of_any_size(spark):
-    """A limit of 40 characters is found, and raises what is asked for there by the excess of texts."""
+    """A limit of 40 characters is found, and even odds are asked for there."""
     rnd = random.Random(3)
-    rows = [final(n, chars=40, ends=1.0) for n in range(60)] + [final(100 + n, chars=rnd.randrange(20, 400), ends=1.0) for n in range(40)] + [final(200 + n, chars=rnd.randrange(20, 400), ends=1.0, source="t") for n in range(40)]
+    rows = [final(n, chars=40, ends=-1.0 if n % 2 else 1.0) for n in range(60)] + [final(100 + n, chars=rnd.randrange(20, 400), ends=-1.0) for n in range(40)] + [final(200 + n, chars=rnd.randrange(20, 400), ends=-1.0, source="t") for n in range(40)]
     df = spark.createDataFrame(rows, truncation.FINAL)
     assert {(r.source, r.size) for r in truncation.limits(df).where("unit = 'chars'").collect()} == {("s", 40)}
-    assert {r.key for r in truncation.judge(df).where("cut").collect() if r.key < 100} == set(range(60)) and truncation.judge(df).where("cut and source = 't'").count() == 0
+    low = [(None, "en", "prose", *[None] * 8, "ends", -40, 900)]
+    got = truncation.judge(df.union(spark.createDataFrame(low, truncation.FINAL))).where("cut").collect()
+    assert {r.key for r in got if r.key < 100} == set(range(1, 60, 2)) and not any(r.source == "t" for r in got)
 
 
 def prose(spark, n=260):
