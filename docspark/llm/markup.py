@@ -1,15 +1,19 @@
 """Markup residue of HTML, Markdown, wiki and LaTeX in prose: which kinds a text holds, and the clean text.
 
-A scanner finds code blocks and then the markup tokens outside of them; each token says what of it remains. The rewritten text
-is cut into blocks whose roles (heading, list, code, formula, table, text) stay recognisable. Two passes decide which blocks
-are text: the first by length, stop-word density and link density; in the second, short and doubtful blocks take the label of
-the nearest decided neighbours. Blocks labelled residue are left out. Blocks that no token touched are never residue.
+Block rules in two passes decide twice. First, which blocks of the text as it came hold markup at all: what can't be anything else
+(a tag, an environment, a link in brackets) decides for its block; a mark that ordinary writing uses too (a star, an underscore, a
+dollar, an ampersand) is markup in a block of running prose, told by length and stop-word density, and in a short or doubtful block
+if the nearest decided neighbours hold markup. Blocks decided to be plain stay as they are. A scanner then finds code blocks and the
+tokens outside of them; each token says what of it remains. Second, which blocks of the rewritten text, whose roles (heading, list,
+code, formula, table, text) stay recognisable, are text: by length, stop-word density and link density, and by neighbours for short
+and doubtful blocks. Those labelled residue are left out. Blocks that no token touched are never residue.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -42,6 +46,7 @@ TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{_NAME}){_ATTRIBUTE}*\s*/?>|<(?P<open>
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?xml[^>]*>|<!\[CDATA\[|\]\]>", re.I | re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 #: Commands of LaTeX that stand without an argument in braces.
+_STYLES = "text[a-z]{2}|emph|underline|overline|title|author|date|caption|url|href|mbox|mathrm|mathbf|mathit|sqrt|frac|footnotesize|centerline"
 _BARE = "item|em|bf|it|tt|sc|par|noindent|newline|newpage|linebreak|pagebreak|maketitle|tableofcontents|hline|centering|LaTeX|TeX|ldots|dots|cdot|cdots|times|leq|geq|neq|approx|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|omega|pi|theta|sum|int|infty|partial|quad|qquad|left|right|bigskip|medskip|smallskip"
 
 CODE = (
@@ -51,19 +56,21 @@ CODE = (
     ("latex", re.compile(r"(?P<a>\\begin\{(?P<f>verbatim|lstlisting|minted)\}[^\n]*)(?P<body>.*?)(?P<z>\\end\{(?P=f)\}|\Z)", re.S)),
     ("markdown", re.compile(r"(?P<a>(?<!`)(?P<f>`{1,2})(?!`))(?P<body>[^`\n]+)(?P<z>(?<!`)(?P=f)(?!`))")),
 )
-#: (kind, pattern, what remains: a group's name, a fixed text, or a function's name below)
+#: (kind, pattern, what remains: a group's name, a fixed text, or a function's name below). A kind with a question mark: ordinary
+#: writing uses such marks too, so the block decides.
 TOKENS = (
     ("latex", re.compile(r"\\begin\{(?P<env>equation|align|gather|displaymath|math|eqnarray|multline)\*?\}(?P<in>.*?)(?:\\end\{(?P=env)\*?\}|\Z)", re.S), "formula"),
     ("latex", re.compile(r"\\\[(?P<in>(?:(?!\\\[).)+?)\\\]|\$\$(?P<in2>[^$]+)\$\$", re.S), "formula"),
-    ("latex", re.compile(r"\\\((?P<in>(?:(?!\\\().)+?)\\\)|\$(?P<in2>(?=[^$\n]*[\\^_{}])[^\s$](?:[^$\n]*[^\s$\\])?)\$(?!\d)"), "inline"),
+    ("latex?", re.compile(r"\\\((?P<in>(?:(?!\\\().)+?)\\\)|\$(?P<in2>(?=[^$\n]*[\\^_{}])[^\s$](?:[^$\n]*[^\s$\\])?)\$(?!\d)"), "inline"),
     ("latex", re.compile(r"\\(?P<cmd>part|chapter|section|subsection|subsubsection|paragraph)\*?\{(?P<in>[^{}\n]*)\}"), "section"),
     ("latex", re.compile(r"[~ ]?\\(?:cite[a-z]*|ref|eqref|pageref|label|bibliography|bibliographystyle|input|include|usepackage|documentclass|includegraphics|vspace|hspace)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}"), ""),
     ("latex", re.compile(r"\\footnote\{(?P<in>[^{}\n]*)\}"), "note"),
     ("latex", re.compile(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?"), "\n"),
     ("latex", re.compile(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*"), "\n\ue004 "),
     ("latex", re.compile(r"\{\\(?:em|bf|it|tt|sc|rm|sf|sl|small|large|Large|tiny)\b\s*(?P<in>[^{}]*)\}"), "in"),
-    ("latex", re.compile(r"(?<![A-Za-z]:)(?<!\\)\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{(?P<in>[^{}\n]*)\}(?:\{[^{}\n]*\})*"), "in"),
-    ("latex", re.compile(rf"(?<![A-Za-z]:)(?<![\w\\])\\(?:{_BARE})(?![A-Za-z\\])"), ""),
+    ("latex", re.compile(rf"(?<![A-Za-z]:)(?<!\\)\\(?:{_STYLES})\*?(?:\[[^\]\n]*\])?\{{(?P<in>[^{{}}\n]*)\}}(?:\{{[^{{}}\n]*\}})*"), "in"),
+    ("latex?", re.compile(r"(?<![A-Za-z]:)(?<![\w\\])\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?\{(?P<in>[^{}\n]*)\}(?:\{[^{}\n]*\})*"), "in"),
+    ("latex?", re.compile(rf"(?<![A-Za-z]:)(?<![\w\\])\\(?:{_BARE})(?![A-Za-z\\])"), ""),
     ("wiki", re.compile(r"^\{\|[^\n]*\n(?P<in>.*?)(?:^\|\}|\Z)", re.M | re.S), "wikitable"),
     ("wiki", re.compile(r"\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}"), ""),
     ("wiki", re.compile(r"\[\[(?:File|Image|Category|Datei|Bild|Kategorie|Fichier|Catégorie|Archivo|Categoría|Файл|Категория|文件|分类)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", re.I), ""),
@@ -76,7 +83,7 @@ TOKENS = (
     ("wiki", re.compile(r"__(?:NO)?(?:TOC|EDITSECTION|INDEX|GALLERY)__"), ""),
     ("html", COMMENT, ""),
     ("html", TAG, "tag"),
-    ("html", ENTITY, "entity"),
+    ("html?", ENTITY, "entity"),
     ("markdown", re.compile(r"!\[(?P<in>[^\[\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])"), "in"),
     ("markdown", re.compile(r"^[ \t]{0,3}\[\^[^\]\s]+\]:[ \t]*", re.M), ""),
     ("markdown", re.compile(r"^[ \t]{0,3}\[[^\]\n^]+\]:[ \t]*\S+(?:[ \t]+[\"'(][^\n]*)?[ \t]*\r?$", re.M), ""),
@@ -84,12 +91,12 @@ TOKENS = (
     ("markdown", re.compile(r"(?<!\[)\[(?P<in>[^\[\]\n]+)\](?:\([^()\s]*(?:\s+\"[^\"\n]*\")?\)|\[[^\[\]\n]*\])"), "link"),
     ("markdown", re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(?=\S)", re.M), "mark"),
     ("markdown", re.compile(r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+", re.M), "- "),
-    ("markdown", re.compile(r"^[ \t]{0,3}>[ \t]?", re.M), ""),
+    ("markdown?", re.compile(r"^[ \t]{0,3}>[ \t]?", re.M), ""),
     ("markdown", re.compile(r"^[ \t]*(?:\|[ \t]*)?(?::?-{2,}:?[ \t]*\|[ \t]*)+(?::?-{2,}:?[ \t]*)?\r?$\n?", re.M), ""),
     ("markdown", re.compile(r"(?<![\w*])(?P<s>\*\*\*|\*\*)(?![\s*])(?P<in>[^*\n]*[^\s*])(?P=s)(?!\*)|(?<![\w_])__(?![\s_])(?P<in2>[^_\n]*[^\s_])__(?![\w_])|(?<!~)~~(?![\s~])(?P<in3>[^~\n]*[^\s~])~~(?!~)"), "in"),
-    ("markdown", re.compile(r"(?<![\w*\\])\*(?![\s*=])(?P<in>[^*\n]*[^\s*])\*(?![\w*])|(?<![\w_\\])_(?![\s_])(?P<in2>[^_\n]*[^\s_])_(?![\w_])"), "in"),
+    ("markdown?", re.compile(r"(?<![\w*\\])\*(?![\s*=])(?P<in>[^*\n]*[^\s*])\*(?![\w*])|(?<![\w_\\])_(?![\s_])(?P<in2>[^_\n]*[^\s_])_(?![\w_])"), "in"),
     ("markdown", re.compile(r"^[ \t]*[-*+][ \t]+(?=\*\*|\[|`)", re.M), "- "),
-    ("markdown", re.compile(r"^[^\S\n]*\S[^\n]*\n(?P<u>={3,}|-{3,})[ \t]*\r?$", re.M), "setext"),
+    ("markdown?", re.compile(r"^[^\S\n]*\S[^\n]*\n(?P<u>={3,}|-{3,})[ \t]*\r?$", re.M), "setext"),
 )
 #: A text without any of these holds no token.
 POSSIBLE = re.compile(r"[<&#*_~`\[\]{}|\\$]|''|==|^[ \t]*>|^[-=]{3}", re.M).search
@@ -107,8 +114,9 @@ class Scan:
         text = re.sub("[\ue000-\ue004]", "", text)
         for kind, pattern in CODE:
             text = pattern.sub(lambda m, kind=kind: self._code(kind, m), text)
+        text = "\n".join(self._hold("plain", x) if label == "plain" else x for x, label in holding(text))
         for kind, pattern, rest in TOKENS:
-            text = pattern.sub(lambda m, kind=kind, rest=rest: self._token(kind, rest, m), text)
+            text = pattern.sub(lambda m, kind=kind.rstrip("?"), rest=rest: self._token(kind, rest, m), text)
         self.text = text.replace(HEAD, "#").replace(ITEM, "-")
 
     def _hold(self, role: str, text: str) -> str:
@@ -203,6 +211,41 @@ def second_pass(labels: list[str]) -> list[str]:
     return [x if x in decided else "residue" if a == b == "residue" else "text" for x, a, b in zip(labels, left, right, strict=True)]
 
 
+def evidence(text: str) -> tuple[set[int], set[int]]:
+    """The lines of a text that hold sure tokens, and those that hold marks which ordinary writing uses too."""
+    sure, open_ = set(), set()
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    for kind, pattern, rest in TOKENS:
+        for m in pattern.finditer(text):
+            if rest == "entity" and m.group(0)[1] != "#" and m.group(0)[1:] not in html5 or rest == "setext" and m.group(0).lstrip().startswith("|"):
+                continue
+            within = range(bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.start(), m.end() - 1)))
+            (open_ if kind.endswith("?") else sure).update(within)
+    return sure, open_ - sure
+
+
+def holding(text: str) -> list[tuple[str, str]]:
+    """(line, label) of each line of a text: `markup`, or `plain` for a line whose only marks are such as ordinary writing uses.
+
+    A line with a sure token is markup. One with open marks is markup if it is running prose; if it is short or its stop words don't
+    tell, the nearest decided lines on both sides do, and it is plain between plain ones alone (or next to them, at an end). Lines
+    without marks are plain if they are prose, and undecided if not.
+    """
+    every = text.split("\n")
+    sure, open_ = evidence(text)
+    labels = []
+    for n, line in enumerate(every):
+        words, stops, _ = features(line)
+        prose = words >= LONG and stops >= STOP_LOW
+        labels.append("markup" if n in sure or HOLD in line else "" if not line.strip() else "short" if n in open_ and not prose else "markup" if n in open_ else "plain" if prose else "short")
+    before, after = list(labels), list(labels)
+    for side, order in ((before, range(len(labels))), (after, range(len(labels) - 1, -1, -1))):
+        near = ""
+        for i in order:
+            near = side[i] = labels[i] if labels[i] in ("markup", "plain") else near
+    return [(x, "plain" if n in open_ and label == "short" and {a, b} - {""} == {"plain"} else "markup") for n, (x, label, a, b) in enumerate(zip(every, labels, before, after, strict=True))]
+
+
 def analyse(text: str | None) -> tuple[list[str], str | None, list[tuple[str, str, str]]]:
     """(kinds in order, clean text, blocks as (role, label, text)). Null, empty and blank texts hold nothing and stay as they are."""
     if not text or not text.strip():
@@ -220,7 +263,10 @@ def analyse(text: str | None) -> tuple[list[str], str | None, list[tuple[str, st
             blocks.append(["", "", False])
             continue
         held = re.fullmatch(f"{HOLD}(\\d+){HOLD}", body)
-        if held and scan.held[int(held[1])][0] in ("code", "formula"):
+        whole = held and scan.held[int(held[1])]
+        if whole and whole[0] == "plain":
+            body, line = whole[1].strip(), whole[1]
+        elif held and scan.held[int(held[1])][0] in ("code", "formula"):
             blocks.append([*scan.held[int(held[1])], True])
             continue
         body = re.sub(f"{HOLD}(\\d+){HOLD}", lambda m: {"inline code": "`{}`", "inline formula": "${}$"}.get(scan.held[int(m[1])][0], "{}").format(scan.held[int(m[1])][1]), body)

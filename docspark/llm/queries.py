@@ -51,34 +51,44 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("share", F.round(F.col("truncated") / F.col("texts"), 4))
 
 
+#: Which of an element's rows counts: the earliest; of several, the one with the smallest hash of what it holds.
+FIRST = ["element_id", "recorded_at", "tie"]
+
+
+def _tie(*columns: str) -> F.Column:
+    return F.xxhash64(*columns)
+
+
 def _prose(spark: SparkSession, folder: str) -> DataFrame:
     code = F.coalesce(F.get_json_object("metadata", "$.kind") == "code_block", F.lit(False))
     counts = (F.coalesce("type", F.lit("")) != "table") & ~code
-    return table(spark, folder, "elements").select("element_id", "recorded_at", counts.alias("counts"), "content")
+    rows = table(spark, folder, "elements").withColumn("counts", counts)
+    return rows.select("element_id", "recorded_at", _tie("type", "metadata", "content").alias("tie"), "counts", F.when(F.col("counts"), F.col("content")).alias("content"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = markup.kinds_of(_prose(spark, folder).withColumn("content", F.when(F.col("counts"), F.col("content"))), ["element_id", "recorded_at"], "content")
-    first = earliest(rows, "element_id", ["recorded_at", "kinds"])  # kinds are shuffled, contents aren't
-    return first.select("element_id", F.explode("kinds").alias("markup"))
+    rows = markup.kinds_of(_prose(spark, folder), [*FIRST, "counts"], "content")
+    first = earliest(rows, "element_id", [*FIRST[1:], "counts", "kinds"])  # kinds are shuffled, contents aren't
+    return first.where("counts").select("element_id", F.explode("kinds").alias("markup"))
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """The clean text of every prose element, with the roles of its blocks."""
-    rows = markup.clean(_prose(spark, folder).where("counts"), ["element_id", "recorded_at"], "content")
-    return earliest(rows, "element_id", ["recorded_at", "markup", "clean", "blocks"]).drop("recorded_at")
+    """The clean text of every prose element, with the roles of its blocks. Prose is what the element's earliest row is."""
+    rows = markup.clean(_prose(spark, folder), [*FIRST, "counts"], "content")
+    first = earliest(rows, "element_id", [*FIRST[1:], "counts", "markup", "clean", "blocks"])
+    return first.where("counts").select("element_id", "markup", "clean", "blocks")
 
 
 def _oversized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Elements and chunks over their limits, of each key the earliest row. Contents are fetched for these alone."""
     limits = F.broadcast(table(spark, folder, "size_limits").where("use_for = 'split'").select(F.col("item_type").alias("type"), F.col("capacity").alias("most"), F.col("overlap").alias("shared")))  # one row for each type
-    rows = table(spark, folder, "elements").select("element_id", "recorded_at", "type", F.length("content").alias("n"), "content")
-    first = earliest(rows.drop("content"), "element_id", ["recorded_at", "type", "n"]).join(limits, "type").where("n > most")
-    elements = rows.join(limits.select("type", "most"), "type").where("n > most").drop("most").join(first, ["element_id", "recorded_at", "type", "n"]).dropDuplicates(["element_id"])
-    rows = table(spark, folder, "chunks").select("chunk_id", "recorded_at", F.col("metadata.max_chars").alias("own_limit"), F.length("text").alias("n"), "text", "source_spans")
+    rows = table(spark, folder, "elements").select("element_id", "recorded_at", _tie("type", "content").alias("tie"), "type", F.length("content").alias("n"), "content")
+    first = earliest(rows.drop("content"), "element_id", ["recorded_at", "tie", "type", "n"]).join(limits, "type").where("n > most")
+    elements = rows.join(limits.select("type", "most"), "type").where("n > most").drop("most", "type", "n").join(first, FIRST).dropDuplicates(["element_id"])
+    rows = table(spark, folder, "chunks").select("chunk_id", "recorded_at", _tie("text", "metadata", "source_spans").alias("tie"), F.col("metadata.max_chars").alias("own_limit"), F.length("text").alias("n"), "text", "source_spans")
     over = F.col("n") > F.coalesce("own_limit", "usual")
-    first = earliest(rows.drop("text", "source_spans"), "chunk_id", ["recorded_at", "n", "own_limit"]).withColumn("type", F.lit("chunk")).join(limits.withColumnRenamed("most", "usual"), "type", "left").where(over).withColumn("most", F.coalesce("own_limit", "usual"))
-    chunks = rows.drop("own_limit").join(first.select("chunk_id", "recorded_at", "n", "most", "shared"), ["chunk_id", "recorded_at", "n"]).dropDuplicates(["chunk_id"])
+    first = earliest(rows.drop("text", "source_spans"), "chunk_id", ["recorded_at", "tie", "n", "own_limit"]).withColumn("type", F.lit("chunk")).join(limits.withColumnRenamed("most", "usual"), "type", "left").where(over).withColumn("most", F.coalesce("own_limit", "usual"))
+    chunks = rows.drop("own_limit", "n").join(first.select("chunk_id", "recorded_at", "tie", "n", "most", "shared"), ["chunk_id", "recorded_at", "tie"]).dropDuplicates(["chunk_id"])
     return elements, chunks
 
 
@@ -87,7 +97,7 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     spans = "array<struct<element_id:string,start:int,end:int>>"
     own = splitting.split_items(elements, "content", "most", "shared", ["element_id"]).withColumn("source_spans", splitting.own_span("element_id").cast(spans))
     parts = splitting.split_items(chunks, "text", "most", "shared", ["chunk_id", "n", "source_spans"]).withColumn("source_spans", splitting.mapped_spans("source_spans", "n", "chunk_id").cast(spans))
-    columns = ["piece", F.col("start").alias("start"), F.col("end").alias("end"), "text", "boundary", "source_spans"]
+    columns = ["piece", F.col("start").alias("start"), F.col("end").alias("end"), "text", "boundary", "overlap", "source_spans"]
     return own.select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), *columns).unionByName(parts.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), *columns))
 
 
@@ -99,12 +109,22 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+def _looks(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_kind, id, look, stored) of the earliest row of each element and chunk with a text."""
     elements = table(spark, folder, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("id"), "recorded_at", F.col("content").alias("text"))
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("id"), "recorded_at", "text")
     rows = lookalike.looks(elements.unionByName(chunks), ["item_kind", "id", "recorded_at"], "text")  # hashes are shuffled, texts aren't
-    first = rows.groupBy("item_kind", "id").agg(F.min(F.struct("recorded_at", "look", "stored")).alias("r")).select("item_kind", "id", "r.look", "r.stored").where("look is not null")
-    return lookalike.same_look(Cuts(spark).cut(first), "item_kind", "id")
+    first = F.min(F.struct(F.col("recorded_at").isNull(), "recorded_at", "look", "stored")).alias("r")  # rows without a time come last
+    return rows.where("id is not null").groupBy("item_kind", "id").agg(first).select("item_kind", "id", "r.look", "r.stored").where("look is not null")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.same_look(Cuts(spark).cut(_looks(spark, folder)), "item_kind", "id")
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item whose text looks like a differing one, with its class and the number of its links."""
+    return lookalike.classes(Cuts(spark).cut(_looks(spark, folder)), "item_kind", "id")
 
 
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +134,7 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent(elements.unionByName(chunks), ["item_kind", "item_id", "recorded_at"], "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p6_found, p6_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p6_found, p6_classes, p6_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_report)}
 SQL = {
     "p3_found": """WITH l AS (SELECT item_type, capacity FROM size_limits WHERE use_for = 'split'),
 e AS (SELECT element_id, arg_min(struct_pack(t := type, n := length(content)), recorded_at) r FROM elements GROUP BY 1),

@@ -29,7 +29,7 @@ BOUNDARIES = (
 #: How much nearer a weaker kind must be to be taken instead: none of a weaker kind is while the window holds a sentence end.
 STRONG = 3
 CLUSTER = regex.compile(r"\X")
-PIECES = "piece int, start int, end int, text string, boundary string"
+PIECES = "piece int, start int, end int, text string, boundary string, overlap int"
 
 
 def rolling(text: str) -> np.ndarray:
@@ -55,14 +55,13 @@ def split(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, st
     """(start, end, boundary) of the pieces of at most `limit` characters; each begins `overlap` before the end of the one before.
 
     boundary says what the piece ends at: a kind of BOUNDARIES, `forced` within a word that fills the window, `end` for the
-    last. A text within the limit is one piece; null and empty texts have none. An overlap of half the limit or more is cut
-    down to a quarter, as pieces must move on.
+    last. A text within the limit is one piece; null and empty texts have none. An overlap below 0 or of the limit or more is an
+    error, as no piece could follow (`split_items` says what it does with such rows).
     """
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError("the limit must be positive, the overlap from 0 and below it")
     if not text:
         return []
-    if limit < 1:
-        raise ValueError("limit must be positive")
-    overlap = overlap if 0 <= overlap < (limit + 1) // 2 else limit // 4
     if len(text) <= limit:
         return [(0, len(text), "end")]
     marks = rolling(text)
@@ -90,7 +89,10 @@ def split(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, st
 def split_items(items: DataFrame, text: str, limit: str, overlap: str, carry: list[str]) -> DataFrame:
     """The pieces (PIECES) of each row whose text exceeds its limit, with the columns `carry`.
 
-    Only those rows reach Python; rows within the limit, without a text or without a limit have no pieces. Row-local.
+    overlap is what consecutive pieces of the row share: what the row asks for (null: 0) wherever a piece within the limit can move
+    on with it. An overlap below 0 counts as 0 and one of the limit or more as the limit less one, which the column then says; a limit
+    below 1 counts as 1. Only rows over their limit reach Python; those within it, without a text or without a limit have no pieces.
+    Row-local.
     """
     big = items.where(F.length(text) > F.col(limit)).select(*carry, F.col(text).alias("_text"), F.col(limit).cast("int").alias("_limit"), F.coalesce(F.col(overlap).cast("int"), F.lit(0)).alias("_overlap"))
     schema = ", ".join([*(f"`{c}` {big.schema[c].dataType.simpleString()}" for c in carry), PIECES])
@@ -100,8 +102,10 @@ def split_items(items: DataFrame, text: str, limit: str, overlap: str, carry: li
             rows = []
             for r in batch.itertuples(index=False, name=None):
                 own, (t, most, shared) = r[:-3], r[-3:]
-                rows += [(*own, i, s, e, t[s:e], b) for i, (s, e, b) in enumerate(split(t, most, shared))]
-            yield pd.DataFrame(rows, columns=[*carry, "piece", "start", "end", "text", "boundary"])
+                most = max(1, most)
+                shared = min(max(0, shared), most - 1)
+                rows += [(*own, i, s, e, t[s:e], b, shared) for i, (s, e, b) in enumerate(split(t, most, shared))]
+            yield pd.DataFrame(rows, columns=[*carry, "piece", "start", "end", "text", "boundary", "overlap"])
 
     return big.mapInPandas(run, schema)
 

@@ -126,7 +126,7 @@ def test_pack_rows(spark):
 
 def pieces_ok(text, limit, overlap):
     got = splitting.split(text, limit, overlap)
-    shared = overlap if 0 <= overlap < (limit + 1) // 2 else limit // 4
+    shared = overlap
     assert got[0][0] == 0 and got[-1][1] == len(text) and got[-1][2] == "end"
     for (a, b, _), (c, d, _) in itertools.pairwise(got):
         assert b - c == shared and d > b and a < c
@@ -139,7 +139,12 @@ def test_splits_cover_the_text():
     words = ["word", "sentence.", "end!\n", "中文。", "a, b", "é", "👩🏽‍🔧", "x" * 60, "\n\n"]
     for _ in range(150):
         text = "".join(rnd.choice(words) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 150)))
-        pieces_ok(text, rnd.randrange(20, 200), rnd.choice([0, 2, 9, 500]))
+        limit = rnd.randrange(20, 200)
+        pieces_ok(text, limit, rnd.choice([0, 2, 9, limit // 2, limit * 5 // 8, limit - 1]))
+    pieces_ok("the tide " * 30, 40, 25)
+    for limit, overlap in ((10, 10), (10, -1), (0, 0)):
+        with pytest.raises(ValueError):
+            splitting.split("x" * 30, limit, overlap)
     assert splitting.split(None, 10, 1) == splitting.split("", 10, 1) == [] and splitting.split("short", 10, 1) == [(0, 5, "end")]
     pieces_ok("x" * 1000, 3, 1), pieces_ok("x" * 50, 1, 0)
 
@@ -163,10 +168,10 @@ def test_edits_stay_local():
 
 def test_split_rows_and_spans(spark):
     spans = "array<struct<element_id:string,start:int,end:int>>"
-    rows = [("a", "one two three. " * 10, 50, 5, [("e1", 3, 78), ("e2", 0, 74)]), ("b", "x" * 60, 50, None, None), ("c", "short", 50, 5, []), ("d", None, 50, 5, None), ("e", "y" * 60, None, 5, None)]
+    rows = [("a", "one two three. " * 10, 50, 5, [("e1", 3, 78), ("e2", 0, 74)]), ("b", "x" * 60, 50, None, None), ("c", "short", 50, 5, []), ("d", None, 50, 5, None), ("e", "y" * 60, None, 5, None), ("f", "z" * 60, 20, 15, None), ("g", "w" * 30, 20, 20, None), ("h", "v" * 9, 0, -4, None)]
     df = spark.createDataFrame(rows, f"id string, text string, most int, shared int, source_spans {spans}").withColumn("n", F.length("text"))
     out = splitting.split_items(df, "text", "most", "shared", ["id", "n", "source_spans"]).withColumn("spans", splitting.mapped_spans("source_spans", "n", "id")).collect()
-    assert {r.id for r in out} == {"a", "b"}
+    assert {r.id: r.overlap for r in out} == {"a": 5, "b": 0, "f": 15, "g": 19, "h": 0}
     for r in out:
         assert rows[ord(r.id) - 97][1][r.start : r.end] == r.text
         covered = sum(s.end - s.start for s in r.spans)
@@ -180,12 +185,13 @@ def test_split_rows_and_spans(spark):
 SAME = [
     ("ABC １２３", "ＡＢＣ\u3000123"), ("café", "cafe\u0301"), ("a b", "a\u00a0b"), ("word", "wo\u200brd"), ("word", "w\u00adord\ufeff"), ("aceop", "асеор"), ("no", "nο"), ("fish", "ﬁsh"), ("K", "\u212a"), ("a-b", "a‐b"), ("a-b", "a\u2011b"),
     ("比较", "⽐较"), ("见", "⻅"), ("a\nb", "a\r\nb"), ("é", "е\u0301"), ("ë", "ё"), ("nu", "n\u200du"), ("x", "\u200ex\u2060"), ("가", "\u1100\u1161"),
+    ("x", "x\U000e0100"), ("v", "ѵ"), ("o", "օ"), ("n", "ո"), ("G", "Ꮐ"), ("word", "w\U000e0041ord"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("n", "ñ"), ("1", "2"), ("x2", "x²"), ("0", "O"), ("l", "1"), ("a-b", "a–b"), ("ı", "i"), ("👩🏽‍🔧", "👩🏽🔧"), ("a b", "ab"), ("①", "1"), ("ï", "i")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("n", "ñ"), ("1", "2"), ("x2", "x²"), ("0", "O"), ("l", "1"), ("a-b", "a–b"), ("ı", "i"), ("👩🏽‍🔧", "👩🏽🔧"), ("a b", "ab"), ("①", "1"), ("ï", "i"), ("σ", "o"), ("г", "r"), ("𝐀", "A"), ("٠", "."), ("🏴\U000e0067\U000e0062\U000e007f", "🏴")]
 
 
 def test_looks():
-    t = lookalike.transducer()
+    t = lookalike.transducer(lookalike.confusables())
     for a, b in SAME:
         assert t.rewrite(a) == t.rewrite(b), (a, b)
     for a, b in DIFFERENT:
@@ -204,10 +210,17 @@ def test_same_look_pairs_against_brute_force(spark):
     rows = [("e", f"i{n:02d}", rnd.choice(forms), "clash") for n in range(60)]
     df = spark.createDataFrame(rows, "kind string, id string, text string, look string")
     got = {(r.id_a, r.id_b) for r in lookalike.same_look(lookalike.looks(df.drop("look"), ["kind", "id"], "text").where("look is not null"), "kind", "id").collect()}
-    t = lookalike.transducer()
+    t = lookalike.transducer(lookalike.confusables())
     want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[2] is not None and b[2] is not None and a[2] != b[2] and t.rewrite(a[2]) == t.rewrite(b[2])}
     assert got == want and want
-    assert [r.consistent for r in lookalike.consistent(spark.createDataFrame([(1, "ａ"), (2, None), (3, "")], "id int, text string"), ["id"], "text").orderBy("id").collect()] == ["a", None, ""]
+    links = {k: sum(k in pair for pair in want) for pair in want for k in pair}
+    rows = lookalike.classes(lookalike.looks(df.drop("look"), ["kind", "id"], "text").where("look is not null"), "kind", "id").collect()
+    assert {r.id: r.links for r in rows} == links and len(rows) == len(links)
+    assert all((a.class_id == b.class_id) == (t.rewrite(texts[a.id]) == t.rewrite(texts[b.id])) for texts in [{r[1]: r[2] for r in df.collect()}] for a in rows for b in rows)
+    odd = [(1, "ａ"), (2, None), (3, ""), (4, "Привет, мир"), (5, "Пpивет"), (6, "раypal"), (7, "Καλημέρα"), (8, "x\u200b\u00a0y")]
+    out = lookalike.consistent(spark.createDataFrame(odd, "id int, text string"), ["id"], "text").orderBy("id").collect()
+    assert [r.normal for r in out] == ["a", None, "", "Привет, мир", "Привет", "paypal", "Καλημέρα", "x y"]
+    assert [r.consistent for r in out[:3]] == ["a", None, ""] and out[4].consistent == t.rewrite("Привет")
 
 
 # markup
@@ -234,6 +247,27 @@ def test_no_markup(text):
     assert markup.analyse(text)[:2] == ([], text)
 
 
+PROSE = "The crew of the harbour keeps the gauge in the yard and it is read by all of them at noon."
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("gauge _two_", ["markdown"]), (f"{PROSE}\ngauge _two_\n{PROSE}", []), (f"<b>{PROSE}</b>\ngauge _two_\n{PROSE}", ["html", "markdown"]), (f"{PROSE}\ngauge _two_\n<b>{PROSE}</b>", ["html", "markdown"]),
+        (f"{PROSE}\ngauge <b>two</b>\n{PROSE}", ["html"]), (PROSE.replace("gauge", "*gauge*"), ["markdown"]), (f"{PROSE}\ngauge _two_", []), (f"{PROSE}\n\n(x) a_b $c_d$\n\nnote _two_\n{PROSE}", []), (f"{PROSE}\nnote\nR&amp;D", []), ("note\nR&amp;D", ["html"]),
+    ],
+)
+def test_neighbours_decide_short_blocks(text, kinds):
+    """A short block whose marks ordinary writing uses too is markup or plain with its neighbours, and so are the row and the text."""
+    got, clean, _ = markup.analyse(text)
+    assert got == kinds and ("gauge _two_" not in text or ("gauge two" in clean) == ("markdown" in kinds))
+
+
+@pytest.mark.parametrize("text", [f"Copy it to C:\\temp\\new{{dir}} first. {PROSE}", "\\\\server\\share{x}", "D:\\left\\alpha"])
+def test_paths_are_no_markup(text):
+    assert markup.analyse(text)[:2] == ([], text)
+
+
 def test_second_pass():
     assert markup.second_pass(["residue", "short", "residue"]) == ["residue"] * 3
     assert markup.second_pass(["text", "short", "residue", "doubtful"]) == ["text", "text", "residue", "text"]
@@ -256,6 +290,22 @@ def test_figures_alone_are_content(text, kept):
     assert markup.first_pass("table", "| - | - |", True) == "residue"
 
 
+def test_found_and_clean_take_the_same_row(spark, tmp_path):
+    """Of an element's rows the earliest counts in both, prose or not; rows of one time are told apart by what they hold."""
+    import datetime as dt
+
+    from docspark.llm import queries
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [("a", "table", "<b>x</b>", None, at(1)), ("a", "paragraph", "<i>y</i>", None, at(2)), ("b", "paragraph", "<b>x</b>", None, at(1)), ("b", "paragraph", "[[z]] w", None, at(1)), ("c", "paragraph", "<b>x</b>", '{"kind": "code_block"}', at(1)), ("d", "paragraph", None, None, at(1)), ("e", None, "{{x}} t", None, None)]
+    df = spark.createDataFrame(rows, "element_id string, type string, content string, metadata string, recorded_at timestamp")
+    for n, part in enumerate((df, df.orderBy(F.desc("content")).coalesce(1))):
+        part.write.parquet(str(tmp_path / str(n) / "elements.parquet"))
+    found = [{(r.element_id, r.markup) for r in queries.p2_found(spark, str(tmp_path / n)).collect()} for n in "01"]
+    clean = [{r.element_id: (list(r.markup), r.clean) for r in queries.p2_clean(spark, str(tmp_path / n)).collect()} for n in "01"]
+    assert found[0] == found[1] == {(k, m) for k, (kinds, _) in clean[0].items() for m in kinds} and clean[0] == clean[1] and set(clean[0]) == {"b", "d", "e"}
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "k"), (2, None, "k"), (3, "plain", "k"), (4, "", "k")], "id int, content string, kinds string")
     assert {r.id: list(r.kinds) for r in markup.kinds_of(df.drop("kinds"), ["id"], "content").collect()} == {1: ["html"], 2: [], 3: [], 4: []}
