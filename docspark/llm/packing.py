@@ -3,12 +3,15 @@
 The configuration linear program is solved over the histogram of lengths: its size depends on the capacity and the grain,
 never on the number of items. Multiplicative weights price the length classes, a knapsack dynamic program finds the most
 valuable filling at those prices, and the mix of fillings is rounded down; what is left over is filled by exhaustion. The
-resulting ranges (class, first rank, last rank, filling) are a small table that each item joins by its class and rank.
+resulting ranges (class, first rank, last rank, filling) are a small table in which each item is found by its class and rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,26 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROU
     return out
 
 
+def in_ranges(ranked: DataFrame, ranges: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(k, piece, first, n, container) of items (.., c, rank) by the ranges (class, low, high, items a container, first container).
+
+    The ranges of a class follow each other from rank 0, so a binary search in all of them, sorted, finds an item's; there are at most
+    fillings * classes of them, whatever the number of items. Row-local.
+    """
+    table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
+    bits = 48  # ranks of a class stay below 2^48, classes below 2^15
+    starts, lows, each, base = (table[:, 0] << bits) + table[:, 1], table[:, 1], table[:, 3], table[:, 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+                i = np.searchsorted(starts, (c << bits) + rank, side="right") - 1
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base[i] + (rank - lows[i]) // each[i])], ["k", "piece", "first", "n", "container"])
+
+    return ranked.mapInArrow(run, ", ".join([*(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in ("k", "piece", "first", "n")), "container long"]))
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """(key, piece, first, n, container): every item in a container of at most `capacity`.
 
@@ -109,7 +132,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, classes: int = CL
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    spark, grain = items.sparkSession, max(1, capacity // classes)
+    grain = max(1, capacity // classes)
     units = capacity // grain
     own = items.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
     pieces = own.select("k", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("s") - 1) / capacity)).cast("long"))).alias("piece"))
@@ -125,13 +148,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, classes: int = CL
             rows.append((int(sizes[i]), int(rank[i]), int(rank[i] + copies * filling[i]), int(filling[i]), base))
             rank[i] += copies * filling[i]
         base += copies
-    ranges = spark.createDataFrame(rows or [(-1, 0, 0, 1, 0)], "c int, low long, high long, each long, base long")
     # the rank in a class: the rank in its hashed bucket after the buckets before, so a class of very many items is no single task
     before = F.coalesce(F.sum("count").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("c", "b", before.alias("before")))  # at most classes * BUCKETS rows
     inside = F.row_number().over(Window.partitionBy("c", "b").orderBy("k", "piece")) - 1
     ranked = pieces.where("c > 0").withColumn("inside", inside).join(offsets, ["c", "b"]).withColumn("rank", F.col("before") + F.col("inside"))
-    placed = ranked.join(F.broadcast(ranges), ["c"]).where("rank >= low and rank < high")  # at most fillings * classes rows
-    container = (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("long")
+    placed = in_ranges(ranked.select("k", "piece", "first", "n", "c", "rank"), rows)
     empty = pieces.where("c = 0").select("k", "piece", "first", "n", F.lit(0).cast("long").alias("container"))
-    return placed.select("k", "piece", "first", "n", container.alias("container")).unionByName(empty).withColumnRenamed("k", key)
+    return placed.unionByName(empty).withColumnRenamed("k", key)
