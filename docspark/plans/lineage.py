@@ -6,6 +6,7 @@ prunable, and can be dropped as soon as the next round stands.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where the setting is absent."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster
+    without one is an error, as each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[\w*, ]+\])?", spark.sparkContext.master) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not (there := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docspark-"))
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -24,14 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Cuts:
-    """Written rounds of one iterative job; `drop` removes those that nothing reads any longer."""
+    """Written rounds of one iterative job; `drop` removes those that nothing reads any longer. What results still read goes when the
+    session's file system is closed."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_folder(spark)}/docspark-{uuid.uuid4().hex}"
         self.live: list[tuple[DataFrame, str]] = []
 
+    def _at(self, path: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
+        if not self.live:
+            self._at(self.base)[0].deleteOnExit(self._at(self.base)[1])
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.live.append((out, path))
@@ -45,9 +56,8 @@ class Cuts:
         keep = []
         for df, path in self.live:
             if any(df is x for x in frames):
-                jvm = self.spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                system, where = self._at(path)
+                system.delete(where, True)
             else:
                 keep.append((df, path))
         self.live = keep

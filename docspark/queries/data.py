@@ -19,10 +19,23 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("raw_id", "feed", F.col("run_no").alias("run"), "received_at", F.expr("try_parse_json(payload)").alias("v")).where("v is not null")
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _full(level: str, field: str) -> F.Column:
+    """A field with its level before it; the absent side of a change stays empty."""
+    return F.when(F.col(field) == "", "").when(F.col(level) == "", F.col(field)).otherwise(F.concat(level, F.lit("."), field))
+
+
+def _changes(spark: SparkSession, folder: str) -> DataFrame:
     changes, _ = drift.drift(_payloads(spark, folder).select("feed", "run", "v"), NESTED)
-    full = lambda c: F.when(F.col(c) == "", "").when(F.col("level") == "", F.col(c)).otherwise(F.concat("level", F.lit("."), c))
-    return changes.select("feed", F.col("run").alias("run_no"), full("old_field").alias("old_field"), full("new_field").alias("new_field"), "change").distinct()
+    return changes.select("feed", F.col("run").alias("run_no"), _full("level", "old_field").alias("old_field"), _full("new_level", "new_field").alias("new_field"), "change")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _changes(spark, folder).where("change <> 'moved'").distinct()
+
+
+def p1_moved(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields that moved between the top level and source_locator, with values that agree; p1_found has them removed and added."""
+    return _changes(spark, folder).where("change = 'moved'").drop("change")
 
 
 TOP = ("document_id", "source_type", "schema_version", "source_path", "source_hash", "parser_name", "parser_version")
@@ -42,27 +55,48 @@ def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     """
     payloads = _payloads(spark, folder)
     _, names = drift.drift(payloads.select("feed", "run", "v"), NESTED)
-    maps = names.groupBy("feed", "run").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("name", "field"))))).alias(alias) for level, alias in (("", "top"), ("elements.source_locator", "inner"))])
+    deep = "elements.source_locator"
+    # by consistent name the field that has it: on its own level, and where it has moved to or from the other
+    places = (("", "", "top"), ("", deep, "top_moved"), (deep, deep, "inner"), (deep, "", "inner_moved"))
+    held = lambda to, at: F.collect_list(F.when((F.col("name_level") == to) & (F.col("level") == at), F.struct("name", "field")))
+    maps = names.groupBy("feed", "run").agg(*[F.map_from_entries(F.array_sort(held(to, at))).alias(alias) for to, at, alias in places])
     rows = spark.sql("SELECT p.raw_id, p.feed, p.run, cast(p.v AS map<string, variant>) AS doc, e.pos, e.value AS el FROM {p} p, LATERAL variant_explode_outer(try_variant_get(p.v, '$.elements', 'variant')) e", p=payloads)
     rows = rows.join(maps, ["feed", "run"]).withColumns({"loc": F.expr("try_variant_get(el, '$.source_locator', 'map<string, variant>')"), "own": F.expr("try_variant_get(el, '$', 'map<string, variant>')")})
 
     def text(value: str) -> str:
         return f"nullif(coalesce(try_variant_get({drift.unwrap(value)}, '$', 'string'), to_json({value})), 'null')"
 
-    def extra(held: str, named: str, fixed: tuple[str, ...]) -> F.Column:
-        """The fields of the map `held` under the names of the map `named` (name, field) but for the fixed ones."""
-        rest = f"filter(map_entries({named}), x -> x.key NOT IN ({', '.join(map(repr, fixed))}) AND map_contains_key({held}, x.value))"
-        return F.expr(f"map_from_entries(transform({rest}, x -> struct(x.key, {text(f'{held}[x.value]')})))")
+    def extra(fixed: tuple[str, ...], *sources: tuple[str, str]) -> F.Column:
+        """The fields of maps (held, named by (name, field)) under their names but for the fixed ones."""
+        rest = lambda held, named: f"filter(map_entries({named}), x -> x.key NOT IN ({', '.join(map(repr, fixed))}) AND map_contains_key({held}, x.value))"
+        parts = [f"map_from_entries(transform({rest(held, named)}, x -> struct(x.key, {text(f'{held}[x.value]')})))" for held, named in sources]
+        return F.expr(f"map_concat({', '.join(f'coalesce({x}, map())' for x in parts)})" if len(parts) > 1 else parts[0])
 
     same = "map_from_entries(transform(map_keys(own), k -> struct(k, k)))"
     own = [F.expr(f"try_variant_get(el, '$.{c}', 'string')").alias(c) for c in OWN]
-    tops = [F.expr(text(f"doc[top[{c!r}]]")).alias(c) for c in TOP]
-    inners = [F.expr(text(f"loc[inner[{c!r}]]")).alias(c) for c in INNER]
-    extras = [extra("doc", "top", (*TOP, *WHOLE, *LISTS)).alias("document_extra"), extra("loc", "inner", INNER).alias("locator_extra"), extra("own", same, (*OWN, "source_locator")).alias("element_extra")]
+    tops = [F.expr(text(f"coalesce(doc[top[{c!r}]], loc[top_moved[{c!r}]])")).alias(c) for c in TOP]
+    inners = [F.expr(text(f"coalesce(loc[inner[{c!r}]], doc[inner_moved[{c!r}]])")).alias(c) for c in INNER]
+    extras = [
+        extra((*TOP, *WHOLE, *LISTS), ("doc", "top"), ("loc", "top_moved")).alias("document_extra"),
+        extra(INNER, ("loc", "inner"), ("doc", "inner_moved")).alias("locator_extra"),
+        extra((*OWN, "source_locator"), ("own", same)).alias("element_extra"),
+    ]
     whole = [F.expr(f"nullif(try_variant_get(doc[top[{c!r}]], '$', 'string'), 'null')").alias(alias) for c, alias in WHOLE.items()]
     return rows.select("raw_id", "feed", F.col("run").alias("run_no"), *tops, *whole, F.col("pos").cast("int").alias("ord"), *own, *inners, *extras)
 
 
+def p1_lost(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields, by consistent name, that payloads hold and p1_table has in no column and no map: none."""
+    payloads = _payloads(spark, folder)
+    _, names = drift.drift(payloads.select("feed", "run", "v"), NESTED)
+    whole = p1_table(spark, folder).where("element_id is not null")
+    kept = [F.array(*[F.lit(c) for c in fixed]) for fixed in ((*TOP, *WHOLE, *LISTS), INNER)]
+    found = whole.select("feed", F.col("run_no").alias("run"), F.explode(F.array(*[F.struct(F.lit(level).alias("name_level"), F.concat(k, F.coalesce(F.map_keys(m), F.array())).alias("names")) for level, k, m in (("", kept[0], "document_extra"), ("elements.source_locator", kept[1], "locator_extra"))])).alias("x"))
+    found = found.select("feed", "run", "x.name_level", F.explode("x.names").alias("name")).distinct()
+    held = names.join(found.select("feed", "run").distinct(), ["feed", "run"], "left_semi")
+    return held.join(found, ["feed", "run", "name_level", "name"], "left_anti").select("feed", F.col("run").alias("run_no"), "name_level", "name")
+
+
 def _references(spark: SparkSession, folder: str) -> DataFrame:
     chunks = earliest(table(spark, folder, "chunks").select("chunk_id", "recorded_at", "source_element_ids"), "chunk_id", ["recorded_at", "source_element_ids"])
     relations = earliest(table(spark, folder, "relations").select("relation_id", "recorded_at", "from_id", "to_id"), "relation_id", ["recorded_at", "from_id", "to_id"])
@@ -132,8 +166,9 @@ UNION ALL SELECT k.v, t.root_id, t.depth + 1, t.path || '/' || k.v FROM t JOIN k
 """
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p7_found, p7_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p7_found, p7_paths)}
 SQL = {
+    "p1_lost": "SELECT feed, run_no, '' AS name_level, '' AS name FROM raw_docs WHERE false",
     "p4_found": _REFS + "SELECT ref_table, ref_key, ref_field, element_id, reason FROM o WHERE reason IS NOT NULL",
     "p4_report": _REFS + "SELECT ref_table, strftime(recorded_at, '%Y-%m') AS period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     "p7_found": _TREE.replace("t AS (SELECT v, v AS root_id", "tt AS (SELECT v, v AS root_id").split("tt AS")[0]
