@@ -137,6 +137,11 @@ def p5_objects(spark: SparkSession, folder: str) -> DataFrame:
     return nesting.stored_objects(_occurrences(spark, folder))
 
 
+def p5_unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads that are no JSON and so have no rows in the other tables."""
+    return nesting.unreadable(table(spark, folder, "raw_docs"), "raw_id", "payload").select(F.col("record").alias("raw_id"), "reason")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     cuts = Cuts(spark)
     nodes = cuts.cut(hierarchy.parent_rows(table(spark, folder, "elements"), "element_id", "parent_id", "recorded_at"))
@@ -166,7 +171,7 @@ UNION ALL SELECT k.v, t.root_id, t.depth + 1, t.path || '/' || k.v FROM t JOIN k
 """
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p7_found, p7_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p5_unreadable, p7_found, p7_paths)}
 SQL = {
     "p1_lost": "SELECT feed, run_no, '' AS name_level, '' AS name FROM raw_docs WHERE false",
     "p4_found": _REFS + "SELECT ref_table, ref_key, ref_field, element_id, reason FROM o WHERE reason IS NOT NULL",

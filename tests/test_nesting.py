@@ -71,8 +71,43 @@ def test_deep_and_empty(spark):
     assert nesting.flatten(df.limit(0), "raw_id", "payload").count() == 0
 
 
-def test_unreadable_payloads_are_listed(spark):
-    deep = "[" * 200_000 + "]" * 200_000
-    df = spark.createDataFrame([(1, "{}"), (2, "no json"), (3, deep), (4, None)], "raw_id long, payload string")
-    assert {(r.record, r.reason) for r in nesting.unreadable(df, "raw_id", "payload").collect()} == {(2, "no_json"), (3, "too_deep")}
-    assert {r.record for r in nesting.flatten(df, "raw_id", "payload").collect()} == {1}
+def test_any_depth(spark):
+    """Arrays of 200,000 levels and objects of 3,000 levels are read; only what is no JSON is listed."""
+    arrays, objects = "[" * 200_000 + "]" * 200_000, '{"k": [' * 3000 + "{}" + "]}" * 3000
+    bad = ["no json", arrays[:-1], arrays + "]", "[1,]", '{"a" 1}', '{"a": 1,}', "[1 2]", "{1: 2}", "", "[" * 200_000 + "x"]
+    df = spark.createDataFrame([(1, "{}"), (2, arrays), (3, objects), (4, None), (5, f'{{"x": [{{"y": {arrays}, "z": 1}}]}}')] + [(10 + n, p) for n, p in enumerate(bad)], "raw_id long, payload string")
+    assert {r.record for r in nesting.unreadable(df, "raw_id", "payload").collect()} == {10 + n for n in range(len(bad))}
+    rows = nesting.flatten(df, "raw_id", "payload").groupBy("record").count().collect()
+    assert {r.record: r["count"] for r in rows} == {1: 1, 2: 1, 3: 3001, 5: 2}
+
+
+def test_reader_and_writer_of_any_depth(monkeypatch):
+    """Where the library's recurse too deep, the own ones give what the library would."""
+    def deep(*args, **more):
+        if not args or isinstance(args[0], dict | list) or more.get("stop"):
+            raise RecursionError
+        return real(*args, **more)
+
+    rnd, real = random.Random(8), json.dumps
+    values = [grow(rnd, 6) for _ in range(200)] + [[], {}, [[], {}], {"": [None, -1.5e-7, 12, "\\\"\n\u2028"]}, 7, "x", None]
+    texts = [(v, real(v), real(v, indent=1), real(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for v in values]
+    monkeypatch.setattr(json, "dumps", deep)
+    assert all(nesting.dumps(v) == canonical for v, _, _, canonical in texts)
+    monkeypatch.setattr(json, "loads", lambda text: (_ for _ in ()).throw(RecursionError))
+    assert all(nesting.loads(a) == nesting.loads(b) == v for v, a, b, _ in texts)
+    for text in ("", "[", "{", "[1,]", "nul", "1 2", '{"a":}', "]", "-", '"x'):
+        try:
+            assert nesting.loads(text) is NotImplemented, text
+        except ValueError:
+            pass
+
+
+def test_rows_come_from_the_stored_objects():
+    """Equal objects of a record are stored once, and the occurrences are read off the store."""
+    store = nesting.Store()
+    root = nesting.stored(json.dumps({"k": [{"x": 1, "y": [{"z": 2}]}] * 3}), frozenset(), frozenset(), store)
+    assert len(store.objects) == 3 and [o[0] for o in store.occurrences(root)] == ["", "k[0]", "k[0].y[0]", "k[1]", "k[1].y[0]", "k[2]", "k[2].y[0]"]
+    leaf = next(h for h, (fields, below) in store.objects.items() if not below)
+    store.objects[leaf] = ('{"z":2}', [(".w", 4, leaf[::-1])])
+    store.objects[leaf[::-1]] = ("{}", [])
+    assert "k[2].y[0].w[4]" in [o[0] for o in store.occurrences(root)]
