@@ -151,7 +151,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_paths(spark: SparkSession, folder: str) -> DataFrame:
     nodes = hierarchy.parent_rows(table(spark, folder, "elements"), "element_id", "parent_id", "recorded_at")
     out = hierarchy.hierarchy(nodes)
-    return out.select(F.col("v").alias("element_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), "descendants", F.col("start").alias("first_position"), F.col("stop").alias("end_position"))
+    return out.select(F.col("v").alias("element_id"), F.col("root").alias("root_id"), "depth", "path", "descendants", F.col("start").alias("first_position"), F.col("stop").alias("end_position"))
+
+
+def p7_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """p7_paths without the positions, which any order of siblings may give."""
+    return p7_paths(spark, folder).drop("first_position", "end_position")
+
+
+def p7_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """For each root the rows of its tree, and the sums of their depths and descendants as intervals of positions give them: a row
+    lies in as many intervals as it has rows above it."""
+    rows = p7_paths(spark, folder)
+    sums = rows.groupBy("root_id").agg(F.count("*").alias("members"), F.countDistinct("first_position").alias("positions"), F.max("first_position").alias("last"), F.sum("depth").alias("depths"), F.sum(F.col("end_position") - F.col("first_position") - 1).alias("below"))
+    return sums.select("root_id", "members", "positions", (F.col("last") + 1).alias("length"), "depths", "below")
 
 
 MONTH = "strftime(r.recorded_at, '%Y-%m')"
@@ -171,11 +184,14 @@ UNION ALL SELECT k.v, t.root_id, t.depth + 1, t.path || '/' || k.v FROM t JOIN k
 """
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p5_unreadable, p7_found, p7_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p5_unreadable, p7_found, p7_paths, p7_tree, p7_intervals)}
 SQL = {
     "p1_lost": "SELECT feed, run_no, '' AS name_level, '' AS name FROM raw_docs WHERE false",
     "p4_found": _REFS + "SELECT ref_table, ref_key, ref_field, element_id, reason FROM o WHERE reason IS NOT NULL",
     "p4_report": _REFS + "SELECT ref_table, strftime(recorded_at, '%Y-%m') AS period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
+    "p7_tree": _TREE + """, a AS (SELECT v, v AS x FROM t UNION ALL SELECT k.p, a.x FROM a JOIN k ON k.v = a.v WHERE k.p IS NOT NULL), d AS (SELECT v, count(*) - 1 AS n FROM a GROUP BY 1)
+SELECT t.v AS element_id, root_id, CAST(depth AS BIGINT) AS depth, path, d.n AS descendants FROM t JOIN d USING (v)""",
+    "p7_intervals": _TREE + "SELECT root_id, count(*) AS members, count(*) AS positions, count(*) AS length, CAST(sum(depth) AS BIGINT) AS depths, CAST(sum(depth) AS BIGINT) AS below FROM t GROUP BY 1",
     "p7_found": _TREE.replace("t AS (SELECT v, v AS root_id", "tt AS (SELECT v, v AS root_id").split("tt AS")[0]
     + """w AS (SELECT v, p, v AS s FROM k WHERE p IS NOT NULL UNION SELECT k.v, k.p, w.s FROM w JOIN k ON k.v = w.p),
 c AS (SELECT DISTINCT s AS v FROM w WHERE p = s), m AS (SELECT w.s AS v, min(w.v) AS cycle_id FROM w JOIN c ON w.s = c.v GROUP BY 1)

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from docspark.operators import hierarchy
 
 SCHEMA = "element_id string, parent_id string, recorded_at timestamp_ntz, deleted_at timestamp_ntz, v string, j string"
@@ -36,7 +39,7 @@ def check(spark, parent):
     below = {k: {x for x, (p, _, _) in want.items() if p and k in p[:-1]} for k in got}
     for k, r in got.items():
         path = want[k][0]
-        assert (r.path, r.root, r.depth, r.descendants) == (path, path[0], len(path) - 1, len(below[k]))
+        assert (r.path, r.root, r.depth, r.descendants) == ("/".join(path), path[0], len(path) - 1, len(below[k]))
         assert {x for x, o in got.items() if o.root == r.root and r.start < o.start < r.stop} == below[k]
     assert len({(r.root, r.start) for r in got.values()}) == len(got)
 
@@ -49,6 +52,25 @@ def test_random_forests_with_cycles(spark):
     check(spark, {k: p or None for k, p in parent.items()})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_trees(spark, seed, monkeypatch):
+    """Deep, wide and mixed trees, with siblings in many buckets."""
+    monkeypatch.setattr(hierarchy, "SIBLINGS", 2)
+    rnd = random.Random(seed)
+    reach = (3, 40, 150)[seed]
+    check(spark, {f"n{n:03d}": f"n{rnd.randrange(max(0, n - reach), n):03d}" if n and rnd.random() < 0.97 else None for n in range(150)})
+
+
+def test_long_chain(spark):
+    """A chain of 100,000 rows with a leaf at each: positions without paths."""
+    n = 100_000
+    k = F.col("id")
+    df = spark.range(2 * n).select(F.format_string("n%07d", k).alias("v"), F.when(k >= n, F.format_string("n%07d", k - n)).when(k > 0, F.format_string("n%07d", k - 1)).alias("p"))
+    out = hierarchy.hierarchy(df, paths=False)
+    got = out.agg(F.count("*"), F.max("depth"), F.max("descendants"), F.countDistinct("start"), F.max("stop"), F.sum(F.col("stop") - F.col("start") - 1), F.sum("depth"), F.countDistinct("root")).first()
+    assert tuple(got) == (2 * n, n, 2 * n - 1, 2 * n, 2 * n, got[6], n * (n - 1) // 2 + n * (n + 1) // 2, 1)
+
+
 def test_chain_star_and_rings(spark):
     parent = {f"c{n:02d}": f"c{n - 1:02d}" if n else None for n in range(40)}
     parent |= {f"s{n:02d}": "c00" for n in range(30)}
