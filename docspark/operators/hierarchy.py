@@ -120,8 +120,8 @@ def labels(nodes: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     """(rows, hung) of an acyclic part of (v, p), rows that lead into a cycle left out.
 
     rows: (v, p, root, depth, size, head, at, inner), one for each row that has a root: its chain's first row, its place on it, and
-    whether it has children; p is null for roots. hung: (head, hook, skip) of each chain that hangs at a row: how far behind that row
-    in preorder it begins.
+    whether it has children; p is null for roots. hung: (head, hook, skip, root, depth, size, inner) of each chain that hangs at a row,
+    the latter four of its head: how far behind that row in preorder it begins.
     """
     nodes = cuts.cut(nodes)
     inner = cuts.cut(_inner(nodes))
@@ -143,14 +143,14 @@ def labels(nodes: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     alone = leaves.join(inner.select(F.col("v").alias("p")), "p", "left_anti").select("v", F.lit(None).cast("string").alias("p"), F.col("v").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"), F.col("v").alias("head"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("inner"))
     rows = cuts.cut(_union([chained, below, alone]))
     # the other siblings, summed in hashed buckets so that a parent of very many children is no single task
-    light = rows.where("p is not null and at = 0").select("v", "p", "size").join(heavy.select("p", "heavy_size", "children"), "p")
+    light = rows.where("p is not null and at = 0").select("v", "p", "root", "depth", "size", "inner").join(heavy.select("p", "heavy_size", "children"), "p")
     light = light.withColumn("b", F.pmod(F.xxhash64("v"), F.ceil(F.col("children") / SIBLINGS)))
     inside = F.sum("size").over(Window.partitionBy("p", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
     totals = light.groupBy("p", "b").agg(F.sum("size").alias("s"))
     ahead = F.sum("s").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("p", "b", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     hung = light.withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, ["p", "b"])
-    hung = cuts.cut(hung.select(F.col("v").alias("head"), F.col("p").alias("hook"), (1 + F.col("heavy_size") + F.col("ahead") + F.col("inside")).alias("skip")))
+    hung = cuts.cut(hung.select(F.col("v").alias("head"), F.col("p").alias("hook"), (1 + F.col("heavy_size") + F.col("ahead") + F.col("inside")).alias("skip"), "root", "depth", "size", "inner"))
     return rows, hung
 
 
@@ -167,12 +167,12 @@ def hierarchy(nodes: DataFrame, cuts: Cuts | None = None, separator: str = "/",
     rows, hung = labels(nodes, cuts)
     cuts.keep_only(before, rows, hung)
     no_text = F.lit(None).cast("string")
-    # chains of several rows with their keys, and where they hang
-    long = rows.join(rows.where("at = 0 and inner").select("head"), "head", "left_semi")
+    # chains of several rows with their keys, and where they hang: rows with children have one that goes on
+    long = rows.where("inner or at > 0").select("v", "root", "depth", "size", "head", "at")
     keys = F.array_sort(F.collect_list(F.struct("at", "v")))["v"] if paths else F.lit(None).cast("array<string>")
-    chains = cuts.cut(long.groupBy("head").agg(keys.alias("keys")).join(hung, "head", "left"))
+    chains = cuts.cut(long.groupBy("head").agg(keys.alias("keys")).join(hung.where("inner").select("head", "hook", "skip"), "head", "left"))
     upto = lambda n: F.array_join(F.slice("keys", F.lit(1), (n + 1).cast("int")), separator) if paths else no_text
-    hooks = hung.select(F.col("hook").alias("v")).distinct().join(rows.select("v", "head", "at"), "v").join(chains.withColumnRenamed("hook", "up"), "head")
+    hooks = hung.select(F.col("hook").alias("v")).distinct().join(long.select("v", "head", "at"), "v").join(chains.withColumnRenamed("hook", "up"), "head")
     hooks = cuts.cut(hooks.select(F.col("v").alias("hook"), "up", (F.coalesce("skip", F.lit(0)) + F.col("at")).alias("further"), upto(F.col("at")).alias("own")))
     level = hooks.where("up is null").select("hook", F.col("further").alias("place"), F.col("own").alias("prefix"))
     levels, rest = [level], hooks.where("up is not null")
@@ -181,10 +181,12 @@ def hierarchy(nodes: DataFrame, cuts: Cuts | None = None, separator: str = "/",
         level = cuts.cut(rest.join(on, "up").select("hook", (F.col("from") + F.col("further")).alias("place"), F.concat("before", F.lit(separator), "own").alias("prefix")))
         levels.append(level)
     settled = _union(levels)
-    own = ["v", "root", "depth", "size", "at", "hook", "skip"]
-    along = long.join(chains, "head").select(*own, upto(F.col("at")).alias("own"))
-    single = rows.where("at = 0 and not inner").join(hung, "head", "left").select(*own, (F.col("v") if paths else no_text).alias("own"))
-    out = along.unionByName(single).join(settled, "hook", "left")
+    # what is as long as a path comes to each row with its chain or hook, and isn't shuffled with the rows
+    along = long.join(chains.join(settled, "hook", "left"), "head").select("v", "root", "depth", "size", "at", "place", "skip", "prefix", upto(F.col("at")).alias("own"))
+    zero, key = F.lit(0).cast("long"), (F.col("v") if paths else no_text).alias("own")
+    single = hung.where("not inner").join(settled, "hook").select(F.col("head").alias("v"), "root", "depth", "size", zero.alias("at"), "place", "skip", "prefix").withColumn("own", key)
+    alone = rows.where("p is null and not inner").select("v", "root", "depth", "size", "at", zero.alias("place"), zero.alias("skip"), no_text.alias("prefix"), key)
+    out = _union([along, single, alone])
     start = F.coalesce(F.col("place") + F.col("skip"), F.lit(0)) + F.col("at")
     path = F.concat_ws(separator, "prefix", "own") if paths else no_text
     return out.select("v", "root", F.col("depth").cast("long").alias("depth"), path.alias("path"), start.alias("start"), (start + F.col("size")).alias("stop"), (F.col("size") - 1).alias("descendants"))
