@@ -78,8 +78,8 @@ def numbered(document: Column | str, mark: str, ordinal: Column | str) -> Column
 
 # How captions begin, as blocks and as ends of relations, and how text mentions figures and tables.
 CAPTION = r"(?i)^\s*(?:Table|Figure|Fig\.?|表|图)\s*[0-9０-９]+[\.、:：]"
-FIGURE_CAPTION = r"^(?:Figure|Fig\.?|图)\s*[0-9]+[\.、:：\s]"
-TABLE_CAPTION = r"^(?:Table|表格|表)\s*[0-9]+[\.、:：\s]"
+FIGURE_CAPTION = r"(?i)^(?:Figure|Fig\.?|图)\s*[0-9]+[\.、:：\s]"
+TABLE_CAPTION = r"(?i)^(?:Table|表格|表)\s*[0-9]+[\.、:：\s]"
 FIGURE_MENTION = r"(?i)(?:Figure|Fig\.?|图)\s*([0-9０-９]+)"
 TABLE_MENTION = r"(?i)(?:Table|表格|表)\s*([0-9０-９]+)"
 _WIDE = dict(zip("０１２３４５６７８９", "0123456789", strict=True))

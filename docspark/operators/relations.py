@@ -7,6 +7,10 @@ few candidates of one page.
 
 from __future__ import annotations
 
+import json
+import re
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +111,64 @@ def all_relations(elements: DataFrame) -> DataFrame:
     """Every relation of every document."""
     captions = figure_captions_docx(elements).unionByName(table_captions_docx(elements)).unionByName(captions_pdf(elements, "image")).unionByName(captions_pdf(elements, "table"))
     return captions.unionByName(references(elements, captions))
+
+
+def ordered(edges: Column) -> Column:
+    """A document's relations in their order: by type and ends."""
+    return F.array_sort(edges)
+
+
+_FIGURE, _TABLE, _FIGURES, _TABLES = (re.compile(p) for p in (T.FIGURE_CAPTION, T.TABLE_CAPTION, T.FIGURE_MENTION, T.TABLE_MENTION))
+
+
+def _boxed(e: dict) -> list[float] | None:
+    b = (e["source_locator"] or {}).get("bbox")
+    return b if b and len(b) == 4 and all(x is not None and abs(x) < float("inf") for x in b) else None
+
+
+def within(elements: list[dict] | None, source_type: str | None) -> list[dict]:
+    """The relations of one document in their order, by the rules of `all_relations`, without leaving its row. DOCX and PDF only."""
+    if source_type not in ("docx", "pdf"):
+        return []
+    by = defaultdict(list)
+    for e in sorted(elements or [], key=lambda e: e["ord"]):
+        by[e["type"]].append(e)
+    place = lambda e, k: (e["source_locator"] or {}).get(k)
+    named = {"image": [c for c in by["caption"] if _FIGURE.match(c["content"] or "")], "table": [c for c in by["caption"] if _TABLE.match(c["content"] or "")]}
+    edges: list[tuple[str, str, str, dict]] = []
+    if source_type == "docx":
+        edges += [("has_caption", i["element_id"], c["element_id"], {"rule": "docx_adjacent_paragraph"}) for i in by["image"] for c in named["image"] if place(i, "paragraph_index") is not None and place(c, "paragraph_index") == place(i, "paragraph_index") + 1]
+        edges += [("table_has_caption", t["element_id"], c["element_id"], {"rule": "docx_preceding_block"}) for t in by["table"] for c in named["table"] if c["ord"] == t["ord"] - 1]
+    else:
+        for kind, name, rule in (("image", "has_caption", "pdf_caption_below"), ("table", "table_has_caption", "pdf_caption_above")):
+            pages = defaultdict(list)
+            for c in named[kind]:
+                if (b := _boxed(c)) and place(c, "page") is not None:
+                    pages[place(c, "page")].append((c["element_id"], b))
+            for page in sorted(pages):
+                pairs = []
+                for o in by[kind]:
+                    if (a := _boxed(o)) and place(o, "page") == page:
+                        gaps = [(b[1] - a[3] if kind == "image" else a[1] - b[3], c) for c, b in pages[page] if min(a[2], b[2]) > max(a[0], b[0])]
+                        pairs += [{"gap": g, "from_id": o["element_id"], "to_id": c} for g, c in gaps if 0 < g <= GAP]
+                edges += [(name, p["from_id"], p["to_id"], {"rule": rule, "gap": p["gap"]}) for p in greedy(pairs)]
+    objects = {"figure": by["image"], "table": by["table"]}
+    family = {o["element_id"]: f for f, found in objects.items() for o in found}
+    held = defaultdict(str)
+    for _, target, caption, _ in edges:
+        held[caption] = max(held[caption], target)
+    digits = lambda m: int(m[1])  # noqa: E731  # full-width digits too
+    labelled: dict[tuple[str, int], str] = {}
+    for c in by["caption"]:
+        target = held.get(c["element_id"], "")
+        if target in family and (m := (_FIGURES if family[target] == "figure" else _TABLES).match(c["content"] or "")):
+            labelled.setdefault((family[target], digits(m)), target)
+    for e in (e for kind in ("paragraph", "heading", "list_item") for e in by[kind]):
+        for f, pattern in (("figure", _FIGURES), ("table", _TABLES)):
+            mentions = {digits(m): m[0] for m in reversed([*pattern.finditer(e["content"] or "")])}
+            for n, label in mentions.items():
+                to = labelled.get((f, n)) or (objects[f][n - 1]["element_id"] if 0 < n <= len(objects[f]) else None)
+                if to:
+                    edges.append((f"references_{f}", e["element_id"], to, {"confidence": "deterministic", "label": label, "label_source": "caption_label" if (f, n) in labelled else "ordinal_fallback", "resolution_method": "ordinal_document_order"}))
+    edges.sort(key=lambda x: x[:3])
+    return [{"type": t, "from_id": a, "to_id": b, "metadata": json.dumps(m, ensure_ascii=False, separators=(",", ":"))} for t, a, b, m in edges]

@@ -1,4 +1,4 @@
-"""From files or text columns to checked documents with elements, chunks and errors. Row-local throughout."""
+"""From files or text columns to checked documents with elements, chunks, relations and errors. Row-local throughout."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.operators.chunking import chunk
+from docspark.operators.relations import within
+from docspark.operators.validation import contract_ok, document_violations, shown
 from docspark.parsers import text as plain
 from docspark.parsers.base import guarded
 from docspark.plans.local import with_local
 from docspark.registry import Registry, built_in
-from docspark.types import FAMILIES, PARSED
+from docspark.types import PARSED, RELATION, SCHEMA_VERSIONS
+
 
 def parse(df: DataFrame, content: str, data: str | None, document_id: str, parser: str, registry: Registry | None = None) -> DataFrame:
     """`df` with parsed: each row by the parser that the column `parser` names.
@@ -35,32 +38,47 @@ def parse(df: DataFrame, content: str, data: str | None, document_id: str, parse
 def _unknown(name: str, document_id: str):
     from docspark.parsers.base import ParseError
 
-    raise ParseError("unsupported_type" if name == "" else "unexpected_parser_error", f"unknown parser {name!r}")
+    raise ParseError("unsupported_type" if name == "" else "unknown_parser", f"unknown parser {name!r}")
 
 
 def documents(df: DataFrame, content: str, data: str | None, registry: Registry | None = None, parser: str = "auto", limit: int = 800) -> DataFrame:
-    """Documents of rows (path, source_hash, document_id, source_type, content[, data]): parsed, chunks and error_code.
+    """Documents of rows (path, source_hash, document_id, source_type, content[, data]): elements, chunks, relations, warnings,
+    metadata, error_code and error_details.
 
-    A document with an error keeps its row, with null elements and chunks, so nothing is lost.
+    A document with an error keeps its row, with null elements, chunks and relations, so nothing is lost. Errors come in the order of
+    the stages: no content, the parser's own, the chunker's, no elements, against the schema, against the parser's contract.
     """
     registry = registry or built_in()
     routed = df.withColumn("parser_name", registry.route("path", parser))
     parsed = parse(routed, content, data, "document_id", "parser_name", registry)
-    parsed = parsed.withColumn("_e", F.col("parsed.elements"))
-    out = chunk(parsed, "_e", "document_id", "source_type", limit).drop("_e")
-    due = F.create_map([F.lit(x) for pair in FAMILIES.items() for x in pair])[F.col("source_type")]
-    strange = F.exists("parsed.elements", lambda e: e["source_locator"]["family"] != due)
-    empty = F.exists("parsed.elements", lambda e: (F.length(F.coalesce(e["content"], F.lit(""))) == 0) & (F.length(F.coalesce(e["resource_path"], F.lit(""))) == 0))
+    # from here on the row has what a document has, nothing that only a failed one has
+    parsed = parsed.withColumn("elements", F.when(F.col("parsed.error").isNull(), F.col("parsed.elements")))
+    out = chunk(parsed, "elements", "document_id", "source_type", limit)
+    out = with_local(out, "relations", f"array<{RELATION}>", related, "elements", "source_type")
+    declared = F.create_map([x for c in registry.parsers.values() for x in (F.lit(c.name), F.array(*map(F.lit, c.source_types)))])[F.col("parser_name")]
+    declared = F.when(F.col("parser_name") == "fallback", F.array_union(declared, F.array(F.lit("pdf")))).otherwise(declared)
+    broken = document_violations(F.col("source_type"), F.lit(SCHEMA_VERSIONS[-1]))
+    out = out.withColumn("_broken", broken)
+    good = F.col("elements").isNotNull()
     code = F.coalesce(
         F.when(F.col("parsed").isNull(), "file_not_found"),
         F.col("parsed.error.code"),
-        F.when(F.size("parsed.elements") == 0, "no_extracted_elements"),
-        F.when(empty, "schema_validation_failed"),
-        F.when(F.coalesce(strange, F.lit(False)), "parser_contract_mismatch"),
+        F.when(good & F.col("chunks").isNull(), "chunker_failed"),
+        F.when(F.size("elements") == 0, "no_extracted_elements"),
+        F.when(F.size("_broken") > 0, "schema_validation_failed"),
+        F.when(~contract_ok(F.col("source_type"), F.transform("elements", lambda e: e["source_locator"]["family"]), declared), "parser_contract_mismatch"),
     )
-    out = out.withColumn("error_code", code)
-    keep = lambda c: F.when(F.col("error_code").isNull(), c)
-    return out.withColumn("elements", keep(F.col("parsed.elements"))).withColumn("chunks", keep(F.col("chunks"))).withColumn("warnings", F.col("parsed.warnings")).withColumn("metadata", F.col("parsed.metadata")).drop("parsed")
+    details = F.when(F.col("error_code") == "schema_validation_failed", F.to_json(shown(F.col("_broken")))).otherwise(F.col("parsed.error.details"))
+    out = out.withColumn("error_code", code).withColumn("error_details", details)
+    keep = lambda c: F.when(F.col("error_code").isNull(), F.col(c))
+    return out.withColumns({c: keep(c) for c in ("elements", "chunks", "relations")}).withColumns({"warnings": F.col("parsed.warnings"), "metadata": F.col("parsed.metadata")}).drop("parsed", "_broken")
+
+
+def related(elements: list[dict] | None, source_type: str | None) -> list[dict] | None:
+    try:
+        return within(elements, source_type)
+    except Exception:  # noqa: BLE001 - what the schema finds wrong has no relations
+        return []
 
 
 def from_texts(df: DataFrame, text: str, path: str) -> DataFrame:

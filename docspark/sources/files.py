@@ -8,6 +8,7 @@ import os
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ IN_FOLDERS = ("pdf", "docx", "md")
 def binary_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """(path, length, content) of a folder (searched through), a glob or one file. Only the columns that are used are read."""
     reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("recursiveFileLookup", True)
+    reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)  # `unread` tells them
     if streaming:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
     if os.path.isdir(path.removeprefix("file://")) and not streaming:
@@ -33,6 +35,11 @@ def identified(files: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("source_type").isin("markdown", "html", "text", "ipynb"), T.decode("content")))
 
 
+def unread(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """(path, error_code) of files that a listing names and that could not be read: hash_io_error."""
+    return listed.select("path").join(read.select("path"), "path", "left_anti").withColumn("error_code", F.lit("hash_io_error"))
+
+
 def collisions(files: DataFrame, path: str = "path") -> DataFrame:
     """`files` with stem_collision: whether an earlier path (in order) has the same name without extension.
 
@@ -72,19 +79,30 @@ def as_json(document: DataFrame, columns: list[str]) -> DataFrame:
     return document.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_documents(documents: DataFrame, folder: str, name: str, body: str) -> None:
-    """One UTF-8 file `<name>.json` for each row, written under a temporary name first so that no half file is left."""
+def write_documents(documents: DataFrame, folder: str, name: str, body: str, path: str) -> DataFrame:
+    """(path, error_code) after writing one UTF-8 file `<name>.json` for each row: null, or write_failed.
 
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            target = os.path.join(folder, f"{r[0]}.json")
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(json.dumps(json.loads(r[1]), ensure_ascii=False, indent=2))
-            os.replace(part, target)
+    A file is written under a temporary name first, so that no half file is left and a repeated task does no harm. `folder` must be
+    on storage that all workers share. Written as the result is read: read it once.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for stem, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                target = os.path.join(folder, f"{stem}.json")
+                part = f"{target}.{os.getpid()}.part"
+                try:
+                    with open(part, "w", encoding="utf-8") as f:
+                        f.write(json.dumps(json.loads(text), ensure_ascii=False, indent=2))
+                    os.replace(part, target)
+                    codes.append(None)
+                except OSError:
+                    codes.append("write_failed")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string())], ["path", "error_code"])
 
     os.makedirs(folder, exist_ok=True)
-    documents.select(name, body).foreachPartition(write)
+    return documents.select(path, name, body).mapInArrow(write, "path string, error_code string")
 
 
 def summary(status: DataFrame, seconds: float, workers: int) -> dict:

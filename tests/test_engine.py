@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark import pipeline
 from docspark.registry import Capability, RegistrationError, Registry, built_in
@@ -77,6 +78,64 @@ def test_pipeline_errors_keep_rows(spark):
     assert pipeline.documents(df.limit(0), "text", None).count() == 0
 
 
+def test_gates(spark, monkeypatch):
+    """Documents against the schema or their parser's contract, and a chunker that fails, are errors of the document."""
+    from docspark.operators import chunking
+    from docspark.parsers.base import Output
+
+    def parse(text, document_id):
+        out = Output(document_id)
+        out.add("paragraph", "" if text == "empty" else text, {"family": "page_geometry" if text == "family" else "line_address", "line": 0 if text == "line" else 1}, confidence=2.0 if text == "sure" else 0.5)
+        return out
+
+    r = Registry()
+    r.register(capability(name="own", extensions=(".x",), source_types=("xx",), parse=parse))
+    rows = [(n, f"{n}.x", t) for n, t in enumerate(["fine", "empty", "line", "sure", "family", "break"])]
+    df = pipeline.from_texts(spark.createDataFrame(rows, "id int, path string, text string"), "text", "path").withColumn("source_type", F.lit("xx"))
+    real = chunking.pack
+    monkeypatch.setattr(chunking, "pack", lambda e, *more: 1 / 0 if e and e[0]["content"] == "break" else real(e, *more))
+    got = {r.text: (r.error_code, r.elements is None, r.error_details) for r in pipeline.documents(df, "text", None, r).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"fine": None, "empty": "schema_validation_failed", "line": "schema_validation_failed", "sure": "schema_validation_failed", "family": None, "break": "chunker_failed"}
+    assert "confidence.range" in got["sure"][2] and got["sure"][1] and not got["fine"][1]
+    wrong = {r.text: r.error_code for r in pipeline.documents(df.withColumn("source_type", F.when(F.col("text") == "fine", "text").otherwise("markdown")), "text", None, r).collect()}
+    assert wrong["fine"] == "parser_contract_mismatch" and wrong["family"] == "schema_validation_failed"
+
+
+def test_relations_in_documents(spark):
+    """Those of one document's elements are those of the joins over all, in order; and they are part of the document."""
+    import random
+
+    from docspark.operators import relations
+    from docspark.types import ELEMENT
+
+    rnd, rows = random.Random(6), []
+    for n in range(60):
+        kind, items = ("pdf", "docx")[n % 2], []
+        for i in range(rnd.randrange(1, 14)):
+            t = rnd.choice(["image", "table", "caption", "caption", "paragraph", "heading"])
+            text = {"caption": f"{rnd.choice(['Figure', 'fig.', '图', 'Table', '表'])} {rnd.randrange(1, 4)}: x", "paragraph": f"see Figure {rnd.randrange(1, 5)}, figure ２ and 表 {rnd.randrange(1, 4)}"}.get(t, "x")
+            y = float(rnd.randrange(0, 200))
+            loc = {"page": rnd.randrange(1, 3), "bbox": [float(rnd.randrange(50)), y, 60.0, y + 20]} if kind == "pdf" else {"paragraph_index": i}
+            items.append({"ord": i, "element_id": f"e{i:02d}", "type": t, "content": text, "resource_path": None, "parent_id": None, "source_locator": loc, "confidence": None, "metadata": None})
+        rows.append((f"d{n:02d}", kind, items))
+    df = spark.createDataFrame(rows, f"document_id string, source_type string, elements array<{ELEMENT}>")
+    flat = df.select("document_id", "source_type", F.explode("elements").alias("e")).select("document_id", "source_type", "e.*")
+    want = {}
+    for r in relations.all_relations(flat).collect():
+        want.setdefault(r.document_id, []).append((r.type, r.from_id, r.to_id, json.loads(r.metadata)))
+    got = {d: [(x["type"], x["from_id"], x["to_id"], json.loads(x["metadata"])) for x in relations.within([e for e in items], kind)] for d, kind, items in rows}
+    key = lambda x: (*x[:3], json.dumps(x[3], sort_keys=True))
+    assert {d: sorted(x, key=key) for d, x in got.items() if x} == {d: sorted(x, key=key) for d, x in want.items()} and len(want) > 30
+    assert all([x[:3] for x in g] == sorted(x[:3] for x in g) for g in got.values())
+
+
+def test_written_and_unread_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", '{"x": 1}', "p/a"), ("no/such", "{}", "p/b")], "stem string, body string, path string")
+    status = {r.path: r.error_code for r in files.write_documents(rows, str(tmp_path / "o"), "stem", "body", "path").collect()}
+    assert status == {"p/a": None, "p/b": "write_failed"} and [p.name for p in (tmp_path / "o").iterdir()] == ["a.json"]
+    assert [tuple(r) for r in files.unread(rows, rows.where("stem = 'a'")).collect()] == [("p/b", "hash_io_error")]
+
+
 def test_files_and_collisions(spark, folder):
     got = files.identified(files.collisions(files.binary_files(spark, str(folder / "in"))))
     rows = {Path(r.path).name: r for r in got.collect()}
@@ -98,7 +157,7 @@ def test_command_line(folder):
     assert sorted(p.name for p in (folder / "o").iterdir()) == ["a.json", "b.json", "summary.json"]
     document = json.loads((folder / "o" / "a.json").read_text())
     assert document["elements"][0]["parent_id"] is None and document["chunks"][0]["text"] == "T text"
-    assert [json.loads(x)["event"] for x in (folder / "log").read_text().splitlines()] == ["batch_done", "file_failed"]
+    assert [json.loads(x)["event"] for x in (folder / "log").read_text().splitlines()] == ["batch_start", "batch_done", "file_failed"]
 
 
 def test_explanations():
@@ -138,11 +197,11 @@ def test_extract_images(spark, tmp_path):
 
 
 def test_validate_command(tmp_path):
-    good = {"document_id": "d", "source_type": "text", "source_hash": "0" * 64, "elements": [{"element_id": "e", "type": "paragraph", "content": "x", "source_locator": {"family": "line_address", "line": 1}}], "chunks": []}
+    good = {"document_id": "d", "path": "a.txt", "parser_name": "text", "source_type": "text", "source_hash": "0" * 64, "elements": [{"element_id": "e", "type": "paragraph", "content": "x", "source_locator": {"family": "line_address", "line": 1}}], "chunks": []}
     bad = {**good, "source_hash": "x", "elements": [{**good["elements"][0], "type": "odd", "content": ""}]}
     for name, document in (("good", good), ("bad", bad)):
         (tmp_path / f"{name}.json").write_text(json.dumps(document))
     run = lambda name: subprocess.run([sys.executable, "-m", "docspark.cli", "validate", str(tmp_path / f"{name}.json")], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=200)
     assert run("good").returncode == 0
     out = run("bad")
-    assert out.returncode == 1 and sorted(json.loads(x)["code"] for x in out.stdout.split("\n") if x.startswith("{")) == ["content.any_of", "document.required", "type.enum"]
+    assert out.returncode == 1 and sorted(json.loads(x)["code"] for x in out.stdout.split("\n") if x.startswith("{")) == ["content.any_of", "source_hash.pattern", "type.enum"]

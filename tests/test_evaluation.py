@@ -36,6 +36,15 @@ def test_report(spark, project):
     assert report["expected_failures"] == [{"doc_id": "f", "expected": "ipynb_invalid_json", "actual": "ipynb_invalid_json", "matched": True}]
     assert report["devset"]["content_groups"] == 2 and report["devset"]["categories"] == ["x"] and report["summary"]["success_rate"] == pytest.approx(2 / 3)
     assert report["summary"]["expectation_checks"]["max_silent_drop_count"] == {"evaluated": 1, "passed": 0, "failed": 1}
+    assert a["schema_valid"] and gone["schema_valid"] is None and a["chunk_boundary_recall"] == 1.0 and set(report["summary"]["macro_averages"]) == set(evaluation.RATIOS)
+    assert gone["reasons"] == dict.fromkeys(evaluation.RATIOS, "pipeline_failed") and a["reasons"] == {"pdf_locator_valid_ratio": "not_a_pdf", "docx_locator_valid_ratio": "not_a_docx", "image_resource_exists_ratio": "no_images"}
+    assert b["reasons"]["chunk_boundary_f1"] == "no_annotation" and report["summary"]["partition_violations"] == 0
+    assert report["provenance"]["max_chars"] == 800 and report["provenance"]["git_dirty"] is True and evaluation.report_errors(report) == []
+    for broken in ({"summary": {}}, {"documents": [{}]}, {"documents": [{**a, "schema_valid": 2}]}, {"documents": [{**a, "reasons": {}}]}, {"provenance": {}}, {"devset": []}):
+        assert evaluation.report_errors({**report, **broken})
+        with pytest.raises(ValueError):
+            evaluation.write({**report, **broken}, str(project / "no.json"))
+    assert evaluation.report_errors([]) and evaluation.report_errors({"documents": []})
     evaluation.write(report, str(project / "report.json"))
     assert evaluation.same(report, json.loads((project / "report.json").read_text())) == []
 
@@ -53,3 +62,37 @@ def test_manifest_errors(project):
     with pytest.raises(evaluation.ManifestError):
         evaluation.load_manifest(str(project / "m.json"), str(project))
     assert evaluation.load_annotation(str(project / "none")) is None and evaluation.load_annotation(str(project / "m.json")) is None
+
+
+def test_partition_of_elements_by_chunks(spark):
+    from docspark.types import CHUNK, ELEMENT
+
+    e = lambda i, t, c: (0, i, t, c, None, None, None, None, None)
+    c = lambda *spans: ("c", "t", [], None, list(spans))
+    rows = [
+        ("whole", [e("a", "paragraph", " x y "), e("i", "image", "alt"), e("b", "paragraph", "  ")], [c(("a", 1, 4))]), ("split", [e("a", "paragraph", "abc def")], [c(("a", 0, 3)), c(("a", 4, 7))]),
+        ("twice", [e("a", "paragraph", "abc")], [c(("a", 0, 3)), c(("a", 0, 3))]), ("lost", [e("a", "paragraph", "abc"), e("b", "paragraph", "d")], [c(("a", 0, 2))]), ("none", None, None),
+    ]
+    df = spark.createDataFrame(rows, f"document_id string, elements array<{ELEMENT}>, chunks array<{CHUNK}>")
+    assert {(r.document_id, r.element_id, r.held, r.visible) for r in evaluation.partitioned(df).collect()} == {("twice", "a", 6, 3), ("lost", "a", 2, 3), ("lost", "b", 0, 1)}
+
+
+def test_command(project, monkeypatch, spark, capsys):
+    from docspark import cli
+
+    out = str(project / "r.json")
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    assert cli.main(["evaluate", "--manifest", str(project / "manifest.json"), "--output", out, "--root", str(project), "--log-file", str(project / "logs" / "x.jsonl"), "--max-chars", "64"]) == 0
+    assert [json.loads(x)["event"] for x in (project / "logs" / "x.jsonl").read_text().splitlines()] == ["evaluation_start", "evaluation_done"]
+    assert cli.main(["validate-report", out]) == 0 and cli.main(["validate-report", str(project / "manifest.json")]) == 1 and cli.main(["validate-report", str(project / "none")]) == 2
+    assert cli.main(["evaluate", "--manifest", str(project / "b.txt"), "--output", out, "--root", str(project)]) == 2
+    capsys.readouterr()
+    for args, code in ((["parse", str(project / "a.md"), "-o", out, "--parser", "nope"], "unknown_parser"), (["parse", str(project / "none"), "-o", out], "file_not_found"), (["parse", str(project / "manifest.json"), "-o", out, "--parser", "auto"], "unsupported_type"), (["parse", str(project / "a.md"), "-o", out, "--plugin", "no_such_module"], "plugin_import_failed"), (["parse", str(project / "a.md"), "-o", str(project / "no" / "x.json")], "write_failed")):
+        assert cli.main(args) == 1 and json.loads(capsys.readouterr().err.splitlines()[-1])["errors"][0]["code"] == code
+    assert cli.main(["parse", str(project / "a.md"), "-o", out]) == 0 and json.loads(open(out).read())["parser_name"] == "markdown"
+
+
+def test_types_of_the_manifest(spark, project):
+    rows = [("a", f"file:{project}/a.md", "text"), ("b", f"file:{project}/b.txt", "odd"), ("c", f"file:{project}/manifest.json", None)]
+    got = evaluation.parse_entries(spark, spark.createDataFrame(rows, "doc_id string, path string, source_type string")).collect()
+    assert {(r.doc_id, r.error_code, r.elements and r.elements[0].type) for r in got} == {("a", None, "paragraph"), ("b", "unsupported_type", None), ("c", "unsupported_type", None)}
