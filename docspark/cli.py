@@ -15,7 +15,7 @@ from docspark.operators.validation import chunk_violations, element_violations,
 from docspark.pipeline import documents
 from docspark.registry import RegistrationError, built_in
 from docspark.session import session
-from docspark.sources.files import as_json, binary_files, collisions, identified, summary, unread, write_documents
+from docspark.sources.files import as_json, binary_files, collisions, identified, summary, unread, with_images, write_documents
 from docspark.types import CHUNK, ELEMENT, RELATION, SCHEMA_VERSIONS
 
 FIELDS = ["document_id", "path", "source_type", "source_hash", "parser_name", "elements", "chunks", "relations", "warnings", "metadata"]
@@ -38,7 +38,7 @@ def refuse(path: str, code: str, message: str) -> int:
     return 1
 
 
-def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[str], log: str | None, single: bool, verbose: bool = False) -> int:
+def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[str], log: str | None, single: bool, verbose: bool = False, images: str | None = None) -> int:
     registry = built_in()
     try:
         registry.load(plugins)
@@ -51,12 +51,13 @@ def run(paths: list[str], output: str, parser: str, limit: int, plugins: list[st
     if single and parser == "auto" and not registry.candidates(os.path.splitext(paths[0])[1]):
         return refuse(paths[0], "unsupported_type", "no parser takes such files")
     spark, began = session(), time.time()
-    files = binary_files(spark, paths[0])
-    for p in paths[1:]:
-        files = files.unionByName(binary_files(spark, p))
+    files = binary_files(spark, paths[0]).withColumn("given", F.lit(0))
+    for n, p in enumerate(paths[1:], 1):
+        files = files.unionByName(binary_files(spark, p).withColumn("given", F.lit(n)))
     log_event(log, verbose, "batch_start", parser=parser, max_chars=limit)
-    read = documents(identified(collisions(files)), "text", "content", registry, parser, limit)
-    out = read.withColumn("error_code", F.coalesce(F.when(F.col("stem_collision"), "stem_collision"), "error_code")).drop("content", "text").cache()
+    read = documents(identified(collisions(files, order="given")), "text", "content", registry, parser, limit)
+    out = read.withColumn("error_code", F.coalesce(F.when(F.col("stem_collision"), "stem_collision"), "error_code"))
+    out = with_images(out, "content", images or os.path.join(os.path.dirname(os.path.abspath(output)) if single else output, "images")).drop("content", "text").cache()
     good = out.where("error_code is null")
     if single:
         failed = out.where("error_code is not null").select("path", "error_code", "error_details").toLocalIterator()
@@ -137,6 +138,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--plugin", action="append", default=[])
         c.add_argument("--log-file")
         c.add_argument("--verbose", action="store_true")
+        c.add_argument("--images", help="folder for image files; images beside the output by default")
     for name in ("parsers", "audit"):
         commands.add_parser(name).add_argument("--plugin", action="append", default=[])
     commands.add_parser("validate").add_argument("paths", nargs="+")
@@ -162,7 +164,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "validate-report":
         return validate_report(a.path)
     if a.command in ("parse", "batch-parse"):
-        return run(a.paths, a.output, a.parser, a.max_chars, a.plugin, a.log_file, a.command == "parse", a.verbose)
+        return run(a.paths, a.output, a.parser, a.max_chars, a.plugin, a.log_file, a.command == "parse", a.verbose, a.images)
     registry = built_in()
     registry.load(a.plugin)
     if a.command in ("inspect", "explain"):

@@ -144,4 +144,4 @@ def frontmatter(x: Column | str) -> Column:
 
 def task_item(x: Column | str) -> Column:
     """struct<checked, text> of an item that begins with a check box, null for others."""
-    return F.when(col(x).rlike(r"^\[[ xX]\]\s+"), F.struct((F.lower(F.substring(col(x), 2, 1)) == "x").alias("checked"), F.regexp_extract(col(x), r"^\[[ xX]\]\s+(.*)$", 1).alias("text")))
+    return F.when(col(x).rlike(r"^\[[ xX]\]\s+"), F.struct((F.lower(F.substring(col(x), 2, 1)) == "x").alias("checked"), F.regexp_extract(col(x), r"(?s)^\[[ xX]\]\s+(.*)$", 1).alias("text")))

@@ -111,13 +111,19 @@ def prf(predicted: Column, truth: Column, matched: Column) -> list[Column]:
 
 
 def longest_common(a: list, b: list) -> int:
-    """The length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """The length of the longest common subsequence: of all pairs of equal items, the longest run that rises in both lists.
+
+    ends[n] is the smallest place in b at which a run of n + 1 ends. Linear but for a logarithm where items differ from each other.
+    """
+    places: dict = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    ends: list[int] = []
     for x in a:
-        above = 0
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        for j in reversed(places.get(x, ())):
+            at = bisect.bisect_left(ends, j)
+            ends[at : at + 1] = [j]
+    return len(ends)
 
 
 def heading_order(df: DataFrame, found: str, truth: str) -> DataFrame:

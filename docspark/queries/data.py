@@ -184,8 +184,34 @@ UNION ALL SELECT k.v, t.root_id, t.depth + 1, t.path || '/' || k.v FROM t JOIN k
 """
 
 
+_NEST = r"""WITH RECURSIVE w AS (SELECT raw_id, '' AS path, '' AS list, '' AS parent, false AS node, CAST(payload AS JSON) AS v FROM raw_docs WHERE payload IS NOT NULL AND json_valid(payload)
+UNION ALL SELECT raw_id, CASE WHEN c.key IS NULL THEN path || '[' || c.i || ']' WHEN path = '' THEN c.key ELSE path || '.' || c.key END, CASE WHEN c.key IS NULL THEN path ELSE '' END, CASE WHEN node THEN path ELSE parent END, c.key IS NULL AND json_type(c.v) = 'OBJECT',
+CASE WHEN node AND list = 'elements' AND c.key = 'metadata' AND json_type(c.v) = 'VARCHAR' AND json_valid(c.v->>'$') AND json_type(c.v->>'$') = 'OBJECT' THEN CAST(c.v->>'$' AS JSON)
+WHEN c.key IN ('source_spans', 'cells', 'runs', 'notes', 'replies') AND json_type(c.v) = 'OBJECT' THEN json_array(c.v) ELSE c.v END
+FROM (SELECT raw_id, path, list, parent, node, unnest(CASE json_type(v) WHEN 'OBJECT' THEN [{'key': k, 'i': 0, 'v': json_extract(v, '$."' || k || '"')} FOR k IN json_keys(v)]
+WHEN 'ARRAY' THEN [{'key': NULL::VARCHAR, 'i': j::INT, 'v': json_extract(v, '$[' || j || ']')} FOR j IN range(json_array_length(v)::BIGINT)] END) AS c FROM w WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+"""
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_moved, p1_table, p1_lost, p4_found, p4_report, p5_found, p5_bridge, p5_objects, p5_unreadable, p7_found, p7_paths, p7_tree, p7_intervals)}
 SQL = {
+    "p1_found": """WITH d AS (SELECT feed, run_no AS run, CAST(payload AS JSON) AS v FROM raw_docs WHERE payload IS NOT NULL AND json_valid(payload) AND feed IS NOT NULL AND run_no IS NOT NULL),
+x AS (SELECT feed, run, v->>'$.document_id' AS root, unnest(json_extract(v, '$.elements[*]')) AS e FROM d WHERE json_type(v) = 'OBJECT'),
+o AS (SELECT feed, run, '' AS level, v->>'$.document_id' AS owner, v AS b FROM d WHERE json_type(v) = 'OBJECT' UNION ALL SELECT feed, run, 'elements.source_locator', e->>'$.element_id', json_extract(e, '$.source_locator') FROM x WHERE json_type(e, '$.source_locator') = 'OBJECT'),
+k AS (SELECT feed, run, level, owner, b, unnest(json_keys(b)) AS f FROM o),
+s AS (SELECT feed, run, level, owner, f, json_extract(b, '$."' || f || '"') AS w, CASE json_type(b, '$."' || f || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind FROM k),
+h AS (SELECT feed, run, level, f, list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)) AS kinds FROM s GROUP BY ALL), r AS (SELECT DISTINCT feed, run FROM h),
+gone AS (SELECT a.feed, a.run + 1 AS run, a.level, a.f FROM h a JOIN r ON r.feed = a.feed AND r.run = a.run + 1 ANTI JOIN h b ON b.feed = a.feed AND b.run = a.run + 1 AND b.level = a.level AND b.f = a.f),
+come AS (SELECT a.feed, a.run, a.level, a.f FROM h a JOIN r ON r.feed = a.feed AND r.run = a.run - 1 ANTI JOIN h b ON b.feed = a.feed AND b.run = a.run - 1 AND b.level = a.level AND b.f = a.f),
+l AS (SELECT feed, run, level, f, owner, min(kind || CAST(w AS VARCHAR)) AS lo, max(kind || CAST(w AS VARCHAR)) AS hi FROM s WHERE kind IS NOT NULL AND owner IS NOT NULL GROUP BY ALL),
+m AS (SELECT g.feed, g.run, g.level, g.f AS f0, c.f AS f1 FROM gone g JOIN come c USING (feed, run, level) JOIN l a ON a.feed = g.feed AND a.run = g.run - 1 AND a.level = g.level AND a.f = g.f
+JOIN l b ON b.feed = c.feed AND b.run = c.run AND b.level = c.level AND b.f = c.f AND b.owner = a.owner GROUP BY ALL HAVING avg((a.lo = b.lo AND a.hi = b.hi)::INT) >= 0.9),
+u AS (SELECT feed, run, level, f0, f1, 'renamed' AS change FROM m UNION ALL SELECT feed, run, level, f, '', 'removed' FROM gone ANTI JOIN m ON m.feed = gone.feed AND m.run = gone.run AND m.level = gone.level AND m.f0 = gone.f
+UNION ALL SELECT feed, run, level, '', f, 'added' FROM come ANTI JOIN m ON m.feed = come.feed AND m.run = come.run AND m.level = come.level AND m.f1 = come.f
+UNION ALL SELECT b.feed, b.run, b.level, b.f, b.f, 'retyped' FROM h a JOIN h b ON b.feed = a.feed AND b.run = a.run + 1 AND b.level = a.level AND b.f = a.f WHERE len(a.kinds) > 0 AND len(b.kinds) > 0 AND a.kinds <> b.kinds)
+SELECT DISTINCT feed, run AS run_no, CASE WHEN f0 = '' OR level = '' THEN f0 ELSE level || '.' || f0 END AS old_field, CASE WHEN f1 = '' OR level = '' THEN f1 ELSE level || '.' || f1 END AS new_field, change FROM u""",
+    "p5_found": _NEST + "SELECT DISTINCT raw_id, path AS node_path, parent AS parent_path FROM w WHERE node",
+    "p5_unreadable": "SELECT raw_id, 'no_json' AS reason FROM raw_docs WHERE payload IS NOT NULL AND NOT json_valid(payload)",
     "p1_lost": "SELECT feed, run_no, '' AS name_level, '' AS name FROM raw_docs WHERE false",
     "p4_found": _REFS + "SELECT ref_table, ref_key, ref_field, element_id, reason FROM o WHERE reason IS NOT NULL",
     "p4_report": _REFS + "SELECT ref_table, strftime(recorded_at, '%Y-%m') AS period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",

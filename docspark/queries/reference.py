@@ -99,6 +99,13 @@ def stem_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return collisions(table(spark, folder, "documents").select("source_path"), "source_path").groupBy("stem").agg(F.count_if("stem_collision").alias("collisions")).where("collisions > 0")
 
 
+@query(r"""WITH x AS (SELECT source_path, regexp_replace(regexp_extract(replace(source_path, '\', '/'), '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM parsed_docs)
+SELECT stem, CAST(count(*) - 1 AS BIGINT) AS collisions FROM x GROUP BY 1 HAVING count(*) > 1""")
+def stem_collisions_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of all delivered headers, so that what was delivered again collides."""
+    return collisions(table(spark, folder, "parsed_docs").select("source_path"), "source_path").groupBy("stem").agg(F.count_if("stem_collision").alias("collisions")).where("collisions > 0")
+
+
 @query()
 def parser_capabilities(spark: SparkSession, folder: str) -> DataFrame:
     return built_in().audit(spark)
@@ -203,9 +210,10 @@ def md_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["lang"].alias("lang"))
 
 
-@query(f"WITH {E} SELECT element_id, regexp_matches(element_id, '[02468]$') AS checked, content AS text FROM e WHERE type = 'list_item' AND content IS NOT NULL AND content NOT LIKE '%' || chr(10) || '%' AND content NOT LIKE ' %'")
+@query(rf"WITH {E} SELECT element_id, regexp_matches(element_id, '[02468]$') AS checked, regexp_replace(content, '^[ \t\n\x0B\f\r]+', '') AS text FROM e WHERE type = 'list_item' AND content IS NOT NULL")
 def md_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _elements(spark, folder, "content").where(~F.col("content").contains("\n") & (F.col("type") == "list_item") & ~F.col("content").startswith(" "))
+    """Every list item as an item with a check box."""
+    rows = _elements(spark, folder, "content").where("type = 'list_item' and content is not null")
     mark = F.when(F.col("element_id").rlike("[02468]$"), "[x] ").otherwise("[ ] ")
     return rows.select("element_id", T.task_item(F.concat(mark, "content")).alias("t")).where("t is not null").select("element_id", "t.checked", "t.text")
 
@@ -234,6 +242,35 @@ def notebook_cells(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("doc_id", "e.source_locator.cell_index", "e.source_locator.cell_type", F.md5("e.content").alias("content"))
 
 
+@query(rf"""WITH {E}, l AS (SELECT element_id, [string_split(replace(regexp_replace(regexp_replace({_strip('x')}, '^\|', ''), '\|$', ''), '\|', chr(1)), '|') FOR x IN string_split(content, chr(10))] AS r FROM e WHERE type = 'table' AND content IS NOT NULL),
+k AS (SELECT element_id, [[replace({_norm("replace(y, chr(1), '|')")}, '|', chr(92) || '|') FOR y IN x] FOR x IN r] AS r, list_max([len(x) FOR x IN r]) AS w FROM l),
+q AS (SELECT element_id, len(r) AS n, w, ['| ' || array_to_string(list_concat(x, [ '' FOR i IN range(w - len(x))]), ' | ') || ' |' FOR x IN r] AS s FROM k)
+SELECT element_id, CAST(n AS INT) AS row_count, CAST(w AS INT) AS col_count, md5(array_to_string(list_concat(s[1:1], ['| ' || array_to_string(['---' FOR i IN range(w)], ' | ') || ' |'], s[2:]), chr(10))) AS content FROM q""")
+def html_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table as a table of HTML, its first row of head cells, read again."""
+    rows = _elements(spark, folder, "content").where("type = 'table' and content is not null")
+    cell = lambda tag: lambda c: F.concat(F.lit(f"<{tag}>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(f"</{tag}>"))
+    line = lambda x, n: F.concat(F.lit("<tr>"), F.array_join(F.when(n == 0, F.transform(tables.pipe_cells(x), cell("th"))).otherwise(F.transform(tables.pipe_cells(x), cell("td"))), ""), F.lit("</tr>"))
+    page = F.concat(F.lit("<h1>x</h1><table>"), F.array_join(F.transform(F.split("content", "\n"), line), "\n"), F.lit("</table>"))
+    parsed = parse_column(rows.select("element_id", page.alias("page")), "page", "element_id", html.parse, keep=["element_id"]).select("element_id", F.explode("parsed.elements").alias("e")).where("e.type = 'table'")
+    number = lambda k: F.get_json_object("e.metadata", f"$.{k}").cast("int").alias(k)
+    return parsed.select("element_id", number("row_count"), number("col_count"), F.md5("e.content").alias("content"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, source, {_norm('lang')} AS l FROM documents) SELECT doc_id, 0 AS cell_index, 'heading' AS type, 1 AS line, source AS section_path, source AS content FROM b
+UNION ALL SELECT doc_id, 0, 'list_item', 3, source, 'tag ' || l FROM b WHERE l <> '' UNION ALL SELECT doc_id, 1, 'table', 1, NULL, '| source | lang |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || source || ' | x |' FROM b""")
+def notebook_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks of markdown cells: a heading and a list item, then a table in a cell of its own, where sections begin anew."""
+    lang = T.normalize("lang")
+    first = F.concat(F.lit("# "), "source", F.lit("\n\n"), F.when(lang != "", F.concat(F.lit("- tag "), lang)).otherwise(F.lit("")))
+    second = F.concat(F.lit("| source | lang |\n|---|---|\n| "), "source", F.lit(" | x |"))
+    cells = F.array(*[F.struct(F.lit("markdown").alias("cell_type"), c.alias("source")) for c in (first, second)])
+    book = F.to_json(F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), cells.alias("cells")))
+    rows = table(spark, folder, "documents").select("doc_id", book.alias("book"), F.concat(F.lit("d"), "doc_id").alias("d"))
+    parsed = parse_column(rows, "book", "d", notebook.parse, keep=["doc_id"]).select("doc_id", F.explode("parsed.elements").alias("e"))
+    return parsed.select("doc_id", "e.source_locator.cell_index", "e.type", "e.source_locator.line", "e.source_locator.section_path", "e.content")
+
+
 # the pipeline
 
 
@@ -253,10 +290,11 @@ def pipeline_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "source_type", "n", "c.chunk_id", "c.text", F.col("c.metadata.strategy").alias("strategy"), F.size("c.source_spans").alias("spans"))
 
 
-@query(f"SELECT doc_id, CAST(length({_squeeze('text')}) AS BIGINT) AS visible FROM documents WHERE text IS NOT NULL AND {_strip('text')} <> '' AND doc_id % 2 = 1")
+@query(f"SELECT doc_id, CAST(length({_squeeze('text')}) AS BIGINT) AS visible FROM documents WHERE text IS NOT NULL AND {_strip('text')} <> ''")
 def chunk_preservation(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each plain text (every document with an odd id is read as one), the visible characters that its chunks hold."""
-    rows = _documents(spark, folder).where("source_type = 'text' and chunks is not null")
+    """Of each document, read as plain text, the visible characters that its chunks hold."""
+    texts = table(spark, folder, "documents").select("doc_id", "text", F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("path"))
+    rows = pipeline.documents(pipeline.from_texts(texts, "text", "path"), "text", None).where("chunks is not null")
     return rows.select("doc_id", F.length(T.squeeze(F.array_join("chunks.text", " "))).cast("long").alias("visible"))
 
 
@@ -302,19 +340,35 @@ def bbox_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return _page_objects(spark, folder).select("element_id", F.round(G.overlap("box", "images"), 6).alias("overlap"))
 
 
-@query(_PAGE + """SELECT element_id, f < 0.5 AS accepted, CASE WHEN f < 0.5 AND f > 0 THEN round(f, 6) END AS fraction FROM s WHERE type = 'table'""")
+_GATE = _PAGE + rf""", d AS (SELECT element_id, string_split(content, chr(10)) AS r, [len(string_split(regexp_replace(regexp_replace({_strip('x')}, '^\|', ''), '\|$', ''), '|')) FOR x IN string_split(content, chr(10))] AS k,
+len(regexp_extract_all(content, '[^\s|]+')) AS words FROM e WHERE type = 'table' AND content IS NOT NULL),
+z AS (SELECT element_id, f, len(r) AS n, list_max(k) AS m, words FROM s JOIN d USING (element_id) WHERE s.type = 'table')
+"""
+
+
+def _gated(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of pages that have images, with their rows, columns and words (bars in cells count as columns)."""
+    words = _elements(spark, folder, "content").where("type = 'table' and content is not null").select("element_id", "content")
+    lines = F.split("content", "\n")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(T.strip(x), r"^\|", ""), r"\|$", "")
+    counts = words.select("element_id", F.size(lines).alias("n"), F.array_max(F.transform(lines, lambda x: F.size(F.split(bare(x), r"\|")))).alias("m"), F.size(F.regexp_extract_all("content", F.lit(r"[^\s|]+"), 0)).alias("words"))
+    return _page_objects(spark, folder).where("type = 'table'").join(counts, "element_id")
+
+
+@query(_GATE + """SELECT element_id, f < 0.5 AND words >= 4 AND n >= 2 AS accepted, CASE WHEN f < 0.5 AND words >= 4 AND n >= 2 AND f > 0 THEN round(f, 6) END AS fraction, f < 0.5 AND words >= 4 AND n >= 2 AND words < n * m AS partial_coverage FROM z""")
 def table_gate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _page_objects(spark, folder).where("type = 'table'")
-    gate = G.table_gate("box", F.lit(3), F.lit(3), F.lit(9), "images", F.array().cast("array<array<double>>"))
-    return rows.select("element_id", gate.alias("g")).select("element_id", "g.accepted", F.round("g.fraction", 6).alias("fraction"))
+    gate = G.table_gate("box", F.col("n"), F.col("m"), F.col("words"), "images", F.array().cast("array<array<double>>"))
+    return _gated(spark, folder).select("element_id", gate.alias("g")).select("element_id", "g.accepted", F.round("g.fraction", 6).alias("fraction"), "g.partial_coverage")
 
 
-@query(_PAGE + """SELECT element_id, f < 0.5 OR f >= 0.5 AS accepted FROM s WHERE type = 'table'""")
+@query(_GATE + """, v AS (SELECT o.element_id, max(CASE WHEN w > 1000 THEN q ELSE 0 END) AS large, max(CASE WHEN w > 1000 THEN 0 ELSE q END) AS local FROM (
+SELECT a.element_id, (i.b[3] - i.b[1]) * (i.b[4] - i.b[2]) AS w, CASE WHEN (a.b[3] - a.b[1]) * (a.b[4] - a.b[2]) > 0 AND least(a.b[3], i.b[3]) > greatest(a.b[1], i.b[1]) AND least(a.b[4], i.b[4]) > greatest(a.b[2], i.b[2])
+THEN (least(a.b[3], i.b[3]) - greatest(a.b[1], i.b[1])) * (least(a.b[4], i.b[4]) - greatest(a.b[2], i.b[2])) / ((a.b[3] - a.b[1]) * (a.b[4] - a.b[2])) ELSE 0 END AS q FROM o a JOIN o i USING (document_id, page) WHERE a.type = 'table' AND i.type = 'image') o GROUP BY 1)
+SELECT element_id, words >= 4 AND n >= 2 AND (f < 0.5 OR (m + 3 >= 6 AND large >= 0.5 AND local < 0.5)) AS accepted FROM z JOIN v USING (element_id)""")
 def table_gate_oversize(spark: SparkSession, folder: str) -> DataFrame:
-    """With a page of no more than a point, every figure is oversized, so a wide table is always taken back."""
-    rows = _page_objects(spark, folder).where("type = 'table'")
-    gate = G.table_gate_override("box", F.lit(3), F.lit(6), F.lit(9), F.array().cast("array<array<double>>"), "images", F.lit(1e-9))
-    return rows.select("element_id", gate["accepted"].alias("accepted"))
+    """The images of a page as vector figures of a page of 1,000 square points, the tables three columns wider than they are."""
+    gate = G.table_gate_override("box", F.col("n"), F.col("m") + 3, F.col("words"), F.array().cast("array<array<double>>"), "images", F.lit(1000.0))
+    return _gated(spark, folder).select("element_id", gate["accepted"].alias("accepted"))
 
 
 @query()
@@ -330,6 +384,29 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("document_id", "page", F.explode("lines").alias("l")).select("document_id", "page", "l.line", "l.paragraph", "l.text", F.size("l.words").alias("words"))
 
 
+@query()
+def page_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages rebuilt from the boxes of all elements, images as raster images, tables with one cell a column, text as its words side by
+    side, composed to elements again."""
+    from docspark.parsers import pages
+
+    rows = _elements(spark, folder, "content", "source_locator").where(G.valid_box("source_locator.bbox") & F.col("source_locator.page").isNotNull())
+    own = rows.select("document_id", F.col("source_locator.page").alias("page"), "element_id", "type", F.coalesce("content", F.lit("")).alias("content"), F.col("source_locator.bbox").alias("b"))
+    b, x0 = F.col("b"), F.col("b")[0]
+    text = F.filter(F.split("content", r"[\s|]+"), lambda w: w != "")
+    wide = (b[2] - b[0]) / F.greatest(F.size(text), F.lit(1))
+    spot = lambda n: [(x0 + wide * n).alias("x0"), (x0 + wide * (n + 1)).alias("x1"), b[1].alias("top"), b[3].alias("bottom")]
+    words = F.when(F.col("type") != "image", F.transform(text, lambda w, n: F.struct(w.alias("text"), *spot(n), F.array(F.struct(*spot(n))).alias("chars"))))
+    table_ = F.when(F.col("type") == "table", F.struct(b.alias("bbox"), F.array(F.array(x0, b[1], b[2] + 0.001, b[3] + 0.001)).alias("cells"), F.transform(F.split("content", "\n"), tables.pipe_cells).alias("rows")))
+    image = F.when(F.col("type") == "image", F.struct(x0.alias("x0"), b[2].alias("x1"), b[1].alias("top"), b[3].alias("bottom"), F.col("element_id").alias("tag")))
+    item = F.struct("element_id", words.alias("words"), table_.alias("t"), image.alias("i"))
+    by = own.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))  # what is on a page
+    page = F.struct(F.col("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.flatten(F.filter("items.words", F.isnotnull)).alias("words"), F.filter("items.t", F.isnotnull).alias("tables"), F.filter("items.i", F.isnotnull).alias("images"), F.lit(None).alias("shapes"))
+    shaped = by.select("document_id", "page", F.array(page).cast(f"array<{pages.PAGE}>").alias("pages"))
+    parsed = parse_column(shaped, "pages", "document_id", pages.compose, keep=["document_id", "page"])
+    return parsed.select("document_id", "page", F.posexplode("parsed.elements").alias("n", "e")).select("document_id", "page", "n", "e.type", F.md5(F.coalesce("e.content", F.lit(""))).alias("content"))
+
+
 # relations
 
 
@@ -365,10 +442,28 @@ def table_candidates_pdf(spark: SparkSession, folder: str) -> DataFrame:
     return relations.candidates_pdf(_related(spark, folder), "table").withColumn("gap", F.round("gap", 6))
 
 
-@query()
+_B = "b AS (SELECT document_id, element_id, type, content, source_locator.page AS page, source_locator.bbox AS x FROM t WHERE source_type = 'pdf' AND len(source_locator.bbox) = 4)"
+
+
+def _pairs_sql(kind: str, name: str, pattern: str, gap: str) -> str:
+    return rf"""SELECT o.document_id, o.page, '{name}' AS type, o.element_id AS from_id, c.element_id AS to_id, {gap} AS gap FROM b o JOIN b c USING (document_id, page) WHERE o.type = '{kind}' AND c.type = 'caption' AND regexp_matches(c.content, '{pattern}')
+AND {gap} > 0 AND {gap} <= 50 AND least(o.x[3], c.x[3]) - greatest(o.x[1], c.x[1]) > 0"""
+
+
+_FIGURE, _TABLE = r"^(?:Figure|Fig\.?|图)\s*[0-9]+[.、:：\s]", r"^(?:Table|表格|表)\s*[0-9]+[.、:：\s]"
+# the greedy match of a page, one pair after the other in order
+_GREEDY = f"""{_B}, c2 AS ({_pairs_sql('image', 'has_caption', _FIGURE, 'c.x[2] - o.x[4]')} UNION ALL {_pairs_sql('table', 'table_has_caption', _TABLE, 'o.x[2] - c.x[4]')}),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY document_id, page, type ORDER BY gap, from_id, to_id) AS k FROM c2),
+g AS (SELECT document_id, page, type, from_id, to_id, gap, k, ['f' || from_id, 't' || to_id] AS used, true AS taken FROM k2 WHERE k = 1
+UNION ALL SELECT n.document_id, n.page, n.type, n.from_id, n.to_id, n.gap, n.k, CASE WHEN list_has_any(g.used, ['f' || n.from_id, 't' || n.to_id]) THEN g.used ELSE list_concat(g.used, ['f' || n.from_id, 't' || n.to_id]) END,
+NOT list_has_any(g.used, ['f' || n.from_id, 't' || n.to_id]) FROM g JOIN k2 n ON n.document_id = g.document_id AND n.page = g.page AND n.type = g.type AND n.k = g.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {TE}, {_GREEDY} SELECT document_id, type, from_id, to_id, round(gap, 6) AS gap FROM g WHERE taken")
 def captions_pdf(spark: SparkSession, folder: str) -> DataFrame:
     rows = _related(spark, folder)
-    return relations.captions_pdf(rows, "image").unionByName(relations.captions_pdf(rows, "table"))
+    both = relations.captions_pdf(rows, "image").unionByName(relations.captions_pdf(rows, "table"))
+    return both.select("document_id", "type", "from_id", "to_id", F.round(F.get_json_object("metadata", "$.gap").cast("double"), 6).alias("gap"))
 
 
 _REF = r"""m AS (SELECT document_id, element_id, fam, CAST(translate(regexp_extract(x, '([0-9０-９]+)$', 1), '０１２３４５６７８９', '0123456789') AS HUGEINT) AS n FROM (
@@ -386,9 +481,20 @@ def references_by_order(spark: SparkSession, folder: str) -> DataFrame:
     return relations.references(rows, none).drop("metadata").distinct()
 
 
-@query()
+@query(rf"""WITH RECURSIVE {TE}, {_GREEDY}, q AS (SELECT *, lag(element_id) OVER w AS pe, lag(type) OVER w AS pt, lag(content) OVER w AS pc, lag(ord) OVER w AS po FROM t WHERE source_type = 'docx' WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
+cap AS (SELECT document_id, type, from_id, to_id FROM g WHERE taken
+UNION ALL SELECT i.document_id, 'has_caption', i.element_id, c.element_id FROM t i JOIN t c ON i.document_id = c.document_id AND c.source_locator.paragraph_index = i.source_locator.paragraph_index + 1
+WHERE i.source_type = 'docx' AND c.source_type = 'docx' AND i.type = 'image' AND c.type = 'caption' AND regexp_matches(c.content, '{_FIGURE}')
+UNION ALL SELECT document_id, 'table_has_caption', element_id, pe FROM q WHERE type = 'table' AND pt = 'caption' AND po = ord - 1 AND regexp_matches(pc, '{_TABLE}')),
+{_REF}, ends AS (SELECT document_id, to_id AS caption, max(from_id) AS target FROM cap GROUP BY 1, 2),
+y AS (SELECT c.document_id, CASE o.type WHEN 'image' THEN 'figure' ELSE 'table' END AS fam, target, c.ord, regexp_extract(c.content, CASE o.type WHEN 'image' THEN '(?i)^(?:Figure|Fig\.?|图)\s*([0-9０-９]+)' ELSE '(?i)^(?:Table|表格|表)\s*([0-9０-９]+)' END, 1) AS d
+FROM ends JOIN t c ON c.document_id = ends.document_id AND c.element_id = caption AND c.type = 'caption' JOIN t o ON o.document_id = ends.document_id AND o.element_id = target),
+lab AS (SELECT document_id, fam, CAST(translate(d, '０１２３４５６７８９', '0123456789') AS HUGEINT) AS n, arg_min(target, ord) AS labelled FROM y WHERE d <> '' GROUP BY 1, 2, 3)
+SELECT document_id, type, from_id, to_id FROM cap UNION ALL
+SELECT DISTINCT m.document_id, 'references_' || m.fam, m.element_id, coalesce(labelled, p.to_id) FROM (SELECT DISTINCT * FROM m) m LEFT JOIN lab USING (document_id, fam, n) LEFT JOIN p USING (document_id, fam, n) WHERE coalesce(labelled, p.to_id) IS NOT NULL""")
 def all_relations(spark: SparkSession, folder: str) -> DataFrame:
-    return relations.all_relations(_related(spark, folder))
+    """Every relation of every document; references of one element to one object by two numbers count once."""
+    return relations.all_relations(_related(spark, folder)).drop("metadata").distinct()
 
 
 # validation
@@ -421,6 +527,21 @@ def element_violations(spark: SparkSession, folder: str) -> DataFrame:
     return validation.explode_violations(rows, validation.element_violations(), "element_id").drop("path")
 
 
+_KINDS = ("pdf", "docx", "ipynb", "text")
+
+
+@query(f"""WITH {E}, x AS (SELECT source_locator AS l, unnest({list(_KINDS)}) AS kind FROM e), v AS (SELECT kind, unnest([CASE WHEN NOT coalesce(CASE kind WHEN 'pdf' THEN l.page >= 1 AND (l.bbox IS NULL OR len(l.bbox) = 4)
+WHEN 'docx' THEN l.paragraph_index IS NOT NULL OR l.table_index IS NOT NULL OR l.section IS NOT NULL OR l.relationship_id IS NOT NULL OR l.target_partname IS NOT NULL
+WHEN 'ipynb' THEN (l.cell_index IS NULL OR l.cell_index >= 0) AND (l.cell_type IS NULL OR l.cell_type IN ('markdown', 'code', 'raw')) AND (l.line IS NULL OR l.line >= 1) ELSE l.line IS NULL OR l.line >= 1 END, false) THEN 'locator.shape' END,
+CASE WHEN l.family IS NOT NULL AND l.family <> CASE kind WHEN 'pdf' THEN 'page_geometry' WHEN 'docx' THEN 'structural_index' WHEN 'ipynb' THEN 'container_line' ELSE 'line_address' END THEN 'locator.family' END]) AS code FROM x)
+SELECT kind, code, count(*) AS elements FROM v WHERE code IS NOT NULL GROUP BY 1, 2""")
+def element_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many elements would break the rules on locators if their document were of each source type."""
+    rows = _elements(spark, folder, "content", "resource_path", "source_locator", "confidence").withColumn("kind", F.explode(F.array(*map(F.lit, _KINDS))))
+    broken = validation.explode_violations(rows, validation.element_violations(F.col, F.col("kind"), F.lit("0.6.0")), "kind").where("code in ('locator.shape', 'locator.family')")
+    return broken.groupBy("kind", "code").agg(F.count("*").alias("elements"))
+
+
 @query(f"""WITH {C}, v AS (SELECT chunk_id, unnest([CASE WHEN NOT coalesce(length(chunk_id) > 0, false) THEN 'chunk_id.required' END, CASE WHEN NOT coalesce(length(text) > 0, false) THEN 'text.required' END,
 CASE WHEN NOT coalesce(len(source_element_ids) > 0, false) THEN 'source_element_ids.min' END, CASE WHEN source_element_ids IS NULL OR len([x FOR x IN source_element_ids IF coalesce(length(x), 0) = 0]) > 0 THEN 'source_element_ids.empty' END,
 CASE WHEN NOT coalesce(metadata.char_count = length(text), false) THEN 'char_count.stale' END,

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.plans.local import with_local
+from docspark.types import ELEMENT
 
 #: Extensions that a folder is searched for.
 IN_FOLDERS = ("pdf", "docx", "md")
@@ -40,13 +42,14 @@ def unread(listed: DataFrame, read: DataFrame) -> DataFrame:
     return listed.select("path").join(read.select("path"), "path", "left_anti").withColumn("error_code", F.lit("hash_io_error"))
 
 
-def collisions(files: DataFrame, path: str = "path") -> DataFrame:
-    """`files` with stem_collision: whether an earlier path (in order) has the same name without extension.
+def collisions(files: DataFrame, path: str = "path", order: str | None = None) -> DataFrame:
+    """`files` with stem_collision: whether an earlier file has the same name without extension; earlier by the column `order`, as the
+    inputs were given, then by path.
 
     Ranked within the stem; equal stems are files that one output name can't serve, so groups are small.
     """
     stem = F.regexp_replace(F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    rank = F.row_number().over(Window.partitionBy("stem").orderBy(path))
+    rank = F.row_number().over(Window.partitionBy("stem").orderBy(*([order] if order else []), path))
     return files.withColumn("stem", stem).withColumn("stem_collision", rank > 1)
 
 
@@ -55,23 +58,36 @@ def image_name(document_id: str, ordinal: int, part: str) -> str:
     return f"image_{document_id.removeprefix('doc-')}_docx_{ordinal:02d}{os.path.splitext(part)[1] or '.bin'}"
 
 
-def extract_images(files: DataFrame, folder: str) -> None:
-    """Writes the images of DOCX rows (document_id, content) to a folder that all workers share; other content is passed over."""
+def with_images(documents: DataFrame, content: str, folder: str) -> DataFrame:
+    """`documents` whose image elements (DOCX) name the files that their images are written to, under `folder`, which all workers share.
 
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            try:
-                with zipfile.ZipFile(io.BytesIO(bytes(r[1]))) as package:
-                    for n, part in enumerate(sorted(x for x in package.namelist() if x.startswith("word/media/"))):
-                        target = os.path.join(folder, image_name(r[0], n, part))
-                        with open(f"{target}.part", "wb") as f:
-                            f.write(package.read(part))
-                        os.replace(f"{target}.part", target)
-            except (zipfile.BadZipFile, TypeError):
-                continue
+    An image without a part in the package, and one that can't be written, keeps its resource_path. Files are written under a
+    temporary name first, so a repeated task does no harm.
+    """
 
-    os.makedirs(folder, exist_ok=True)
-    files.select("document_id", "content").foreachPartition(write)
+    def save(elements: list[dict] | None, data: bytes | None, document: str, kind: str | None) -> list[dict] | None:
+        images = [e for e in elements or [] if e["type"] == "image" and (e["source_locator"] or {}).get("target_partname")]
+        if kind != "docx" or not images:
+            return elements
+        try:
+            os.makedirs(folder, exist_ok=True)
+            with zipfile.ZipFile(io.BytesIO(bytes(data))) as package:
+                for n, e in enumerate(images):
+                    part = e["source_locator"]["target_partname"]
+                    target = os.path.join(folder, image_name(document, n, part))
+                    try:
+                        image = package.read(part.lstrip("/"))
+                        with open(f"{target}.{os.getpid()}.part", "wb") as f:
+                            f.write(image)
+                        os.replace(f"{target}.{os.getpid()}.part", target)
+                        e["resource_path"] = target
+                    except (KeyError, OSError):
+                        continue
+        except (zipfile.BadZipFile, TypeError, OSError):
+            pass
+        return [{**e, "source_locator": e["source_locator"] and {**e["source_locator"], "extra": dict(e["source_locator"].get("extra") or []) or None}} for e in elements]
+
+    return with_local(documents, "elements", f"array<{ELEMENT}>", save, "elements", content, "document_id", "source_type")
 
 
 def as_json(document: DataFrame, columns: list[str]) -> DataFrame:

@@ -184,16 +184,36 @@ def test_image_resources(spark):
     assert [tuple(r) for r in metrics.image_resources(elements, there).collect()] == [("d", 1, 3)]
 
 
-def test_extract_images(spark, tmp_path):
+def office(*images):
+    """A DOCX with a paragraph and images of the given parts."""
     import io
     import zipfile
 
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/media/i.png", b"png")
-    rows = spark.createDataFrame([("doc-1", bytearray(data.getvalue())), ("doc-2", bytearray(b"no")), ("doc-3", None)], "document_id string, content binary")
-    files.extract_images(rows, str(tmp_path / "images"))
-    assert [(p.name, p.read_bytes()) for p in (tmp_path / "images").iterdir()] == [("image_1_docx_00.png", b"png")]
+        pictures = "".join(f'<w:p><w:r><a:blip r:embed="r{n}"/></w:r></w:p>' for n in range(len(images)))
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Quay plan.</w:t></w:r></w:p>{pictures}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="x">' + "".join(f'<Relationship Id="r{n}" Target="media/{i}"/>' for n, i in enumerate(images)) + "</Relationships>")
+        for i in images[:-1]:
+            z.writestr(f"word/media/{i}", i)
+    return data.getvalue()
+
+
+def test_images_are_tied_to_elements(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.docx", bytearray(office("one.png", "two.png", "absent.png"))), ("x/b.docx", bytearray(b"PK no"))], "path string, content binary")
+    out = files.with_images(pipeline.documents(files.identified(rows), "text", "content"), "content", str(tmp_path / "images")).collect()
+    good = next(r for r in out if r.error_code is None)
+    paths = [e.resource_path for e in good.elements if e.type == "image"]
+    names = [f"image_{good.document_id[4:]}_docx_{n:02d}.png" for n in range(2)]
+    assert paths == [*(str(tmp_path / "images" / n) for n in names), "/word/media/absent.png"] and {p.name: p.read_text() for p in (tmp_path / "images").iterdir()} == {names[0]: "one.png", names[1]: "two.png"}
+    assert [e.type for e in good.elements] == ["paragraph", *["paragraph", "image"] * 3] and good.elements[2].source_locator.target_partname == "/word/media/one.png"
+
+
+def test_the_first_input_given_wins(spark):
+    rows = spark.createDataFrame([("z/a.md", 0), ("b/a.md", 1)], "path string, given int")
+    assert {r.path: r.stem_collision for r in files.collisions(rows, order="given").collect()} == {"z/a.md": False, "b/a.md": True}
+    assert {r.path: r.stem_collision for r in files.collisions(rows).collect()} == {"z/a.md": True, "b/a.md": False}
 
 
 def test_validate_command(tmp_path):

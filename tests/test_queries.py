@@ -44,9 +44,20 @@ def test_same_as_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in got.description], got.fetchall())
 
 
+#: Queries that may have no rows on the smallest data: fields seldom move, payloads are seldom broken.
+MAY_BE_EMPTY = {"p1_moved"}
+#: Queries that give every row as it was delivered, also the repeated ones.
+AS_STORED = {"p6_texts"}
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() >= 0
+    """Rows come out, twice the same ones, without a row given twice."""
+    df = entry.queries()[name](spark, FOLDER)
+    rows = table(df.columns, df.collect())
+    assert rows[1] or name in MAY_BE_EMPTY
+    assert rows == table(df.columns, entry.queries()[name](spark, FOLDER).collect())
+    assert len({repr(r) for r in rows[1]}) == len(rows[1]) or name in AS_STORED
 
 
 def test_entry(spark):

@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 
@@ -79,7 +80,12 @@ def test_boundaries():
 
 
 def test_order_and_prf(spark):
-    assert metrics.longest_common(list("ACB"), list("ABC")) == 2 and metrics.longest_common([], ["a"]) == 0
+    rnd = random.Random(7)
+    for _ in range(100):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(7))] for _ in range(2))
+        common = max(n for n in range(len(a) + 1) for c in itertools.combinations(a, n) if any(c == d for d in itertools.combinations(b, n)))
+        assert metrics.longest_common(a, b) == common
+    assert metrics.longest_common(range(50_000), range(50_000, 0, -1)) == 1
     df = spark.createDataFrame([(0, 5, 0), (0, 0, 0), (4, 0, 0), (4, 5, 0), (2, 4, 2)], "p int, t int, m int")
     got = [tuple(r) for r in df.select(*metrics.prf(F.col("p"), F.col("t"), F.col("m"))).collect()]
     assert got == [(None, 0.0, None), (None, None, None), (0.0, None, None), (0.0, 0.0, 0.0), (1.0, 0.5, 2 / 3)]
