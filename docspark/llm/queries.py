@@ -80,15 +80,19 @@ def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _oversized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Elements and chunks over their limits, of each key the earliest row. Contents are fetched for these alone."""
-    limits = F.broadcast(table(spark, folder, "size_limits").where("use_for = 'split'").select(F.col("item_type").alias("type"), F.col("capacity").alias("most"), F.col("overlap").alias("shared")))  # one row for each type
+    """Elements and chunks over their limits, of each key the earliest row. Contents are fetched for these alone, by what the row holds:
+    rows of a key that hold the same are one."""
+    sizes = table(spark, folder, "size_limits").where("use_for = 'split'").groupBy("item_type").agg(F.min(F.struct("capacity", "overlap")).alias("x"))
+    by = {r.item_type: r.x for r in sizes.collect()}  # one row for each element type, which are eight
+    pick = lambda k: F.create_map([F.lit(v) for t, x in by.items() for v in (t, x[k])])[F.col("type")] if by else F.lit(None).cast("int")
+    most, shared = pick("capacity"), pick("overlap")
+    usual, usual_shared = (F.lit(by["chunk"][k] if "chunk" in by else None).cast("int") for k in ("capacity", "overlap"))
     rows = table(spark, folder, "elements").select("element_id", "recorded_at", _tie("type", "content").alias("tie"), "type", F.length("content").alias("n"), "content")
-    first = earliest(rows.drop("content"), "element_id", ["recorded_at", "tie", "type", "n"]).join(limits, "type").where("n > most")
-    elements = rows.join(limits.select("type", "most"), "type").where("n > most").drop("most", "type", "n").join(first, FIRST).dropDuplicates(["element_id"])
+    first = earliest(rows.drop("content"), "element_id", ["recorded_at", "tie", "type", "n"]).withColumns({"most": most, "shared": shared}).where("n > most")
+    elements = rows.where(F.col("n") > most).select("element_id", "tie", "content").join(first.drop("recorded_at"), ["element_id", "tie"]).dropDuplicates(["element_id"])
     rows = table(spark, folder, "chunks").select("chunk_id", "recorded_at", _tie("text", "metadata", "source_spans").alias("tie"), F.col("metadata.max_chars").alias("own_limit"), F.length("text").alias("n"), "text", "source_spans")
-    over = F.col("n") > F.coalesce("own_limit", "usual")
-    first = earliest(rows.drop("text", "source_spans"), "chunk_id", ["recorded_at", "tie", "n", "own_limit"]).withColumn("type", F.lit("chunk")).join(limits.withColumnRenamed("most", "usual"), "type", "left").where(over).withColumn("most", F.coalesce("own_limit", "usual"))
-    chunks = rows.drop("own_limit", "n").join(first.select("chunk_id", "recorded_at", "tie", "n", "most", "shared"), ["chunk_id", "recorded_at", "tie"]).dropDuplicates(["chunk_id"])
+    first = earliest(rows.drop("text", "source_spans"), "chunk_id", ["recorded_at", "tie", "n", "own_limit"]).withColumns({"most": F.coalesce("own_limit", usual), "shared": usual_shared}).where("n > most")
+    chunks = rows.select("chunk_id", "tie", "text", "source_spans").join(first.select("chunk_id", "tie", "n", "most", "shared"), ["chunk_id", "tie"]).dropDuplicates(["chunk_id"])
     return elements, chunks
 
 

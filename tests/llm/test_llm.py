@@ -306,6 +306,26 @@ def test_found_and_clean_take_the_same_row(spark, tmp_path):
     assert found[0] == found[1] == {(k, m) for k, (kinds, _) in clean[0].items() for m in kinds} and clean[0] == clean[1] and set(clean[0]) == {"b", "d", "e"}
 
 
+def test_pieces_of_the_earliest_row(spark, tmp_path):
+    """Whatever the layout, of a key's rows the earliest is split; a row without a time comes last, and alone it counts."""
+    import datetime as dt
+
+    from docspark.llm import queries
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    spark.createDataFrame([("split", "paragraph", "code points", 30, 5), ("split", "chunk", "code points", 40, 8), ("pack", "document", "tokens", 9, 0)], "use_for string, item_type string, unit string, capacity int, overlap int").write.parquet(str(tmp_path / "size_limits.parquet"))
+    rows = [("a", "paragraph", "x" * 31, at(1)), ("a", "paragraph", "y" * 31, at(1)), ("a", "paragraph", "z" * 90, at(2)), ("b", "paragraph", "x" * 31, None), ("b", "paragraph", "x" * 9, at(1)), ("c", "paragraph", "w" * 31, None), ("d", "table", "w" * 99, at(1)), ("e", None, "w" * 99, at(1)), ("c", "paragraph", "w" * 31, None)]
+    chunks = [("k", "t" * 41, (None, None), None, at(1)), ("l", "t" * 41, (50, 41), None, at(1)), ("m", "t" * 41, (20, 41), None, at(1)), ("n", None, None, None, at(1))]
+    e = spark.createDataFrame(rows, "element_id string, type string, content string, recorded_at timestamp")
+    c = spark.createDataFrame(chunks, "chunk_id string, text string, metadata struct<max_chars:int,char_count:int>, source_spans array<struct<element_id:string,start:int,end:int>>, recorded_at timestamp")
+    e.write.parquet(str(tmp_path / "elements.parquet")), c.write.parquet(str(tmp_path / "chunks.parquet"))
+    first = queries.p3_pieces(spark, str(tmp_path)).collect()
+    e.orderBy(F.desc("content")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "elements.parquet"))
+    assert {tuple(map(str, r)) for r in first} == {tuple(map(str, r)) for r in queries.p3_pieces(spark, str(tmp_path)).collect()}
+    assert {(r.item_kind, r.item_id) for r in queries.p3_found(spark, str(tmp_path)).collect()} == {("element", "a"), ("element", "c"), ("chunk", "k"), ("chunk", "m")}
+    assert {r.overlap for r in first if r.item_id == "m"} == {8} and len([r for r in first if r.item_id == "c"]) == 2
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "k"), (2, None, "k"), (3, "plain", "k"), (4, "", "k")], "id int, content string, kinds string")
     assert {r.id: list(r.kinds) for r in markup.kinds_of(df.drop("kinds"), ["id"], "content").collect()} == {1: ["html"], 2: [], 3: [], 4: []}
