@@ -1,6 +1,6 @@
 """Text that an extraction library returns as a whole: cut at blank lines, its headings guessed by form.
 
-The library itself (kreuzberg) isn't at hand: its parser answers `kreuzberg_unavailable`, as it does wherever it is missing.
+Where the library itself (kreuzberg) isn't installed, its parser answers `kreuzberg_unavailable`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def heading(line: str) -> tuple[int, str] | None:
     return (0, bare) if bare and len(bare) <= SHORT and not bare.endswith(ENDS) else None
 
 
-def blocks(content: str, document_id: str, source_type: str) -> Output:
+def blocks(content: str, document_id: str, source_type: str, tables: list[str] | None = None) -> Output:
     """Elements of extracted content. Locators only tell the order of blocks, so they are marked as placeholders."""
     out, n = Output(document_id, confidence=0.5), 0
 
@@ -41,6 +41,8 @@ def blocks(content: str, document_id: str, source_type: str) -> Output:
             block = "\n".join(rest).strip()
         if block:
             add("paragraph", block, 0.5, kreuzberg_heuristic=True)
+    for text in filter(None, tables or []):
+        add("table", text, 0.6, source="kreuzberg")
     if not out.elements:
         out.warn("kreuzberg_no_structured_elements")
     elif source_type == "pdf":
@@ -49,4 +51,15 @@ def blocks(content: str, document_id: str, source_type: str) -> Output:
 
 
 def parse(data: bytes, document_id: str) -> Output:
-    raise ParseError("kreuzberg_unavailable", "the extraction library is not installed")
+    """The blocks of what the library returns as text, then its tables."""
+    try:
+        import kreuzberg
+    except ImportError as e:
+        raise ParseError("kreuzberg_unavailable", "the extraction library is not installed") from e
+    kind = "docx" if data[:2] == b"PK" else "pdf"
+    mime = {"docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pdf": "application/pdf"}[kind]
+    try:
+        found = kreuzberg.extract_bytes_sync(data, mime)
+    except Exception as e:
+        raise ParseError("kreuzberg_extract_failed", str(e)[:500], {"exception_type": type(e).__name__}) from e
+    return blocks(found.content or "", document_id, kind, [t.markdown for t in getattr(found, "tables", None) or []])

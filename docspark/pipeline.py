@@ -29,10 +29,11 @@ def parse(df: DataFrame, content: str, data: str | None, document_id: str, parse
             return guarded(_unknown)(name or "", document)
         return functions[name](bytes(raw) if name in ("fallback", "kreuzberg") and raw is not None else text, document)
 
-    text_rows = df.where(F.col(parser) == "text")
-    others = df.where(F.coalesce(F.col(parser) != "text", F.lit(True))).withColumn("_data", F.col(data) if data else F.lit(None).cast("binary"))
-    done = with_local(others, "parsed", PARSED, run, content, "_data", document_id, parser).drop("_data")
-    return done.unionByName(text_rows.withColumn("parsed", plain.parsed(content, document_id)))
+    # one pass: rows of plain text are expressions, and reach Python without their content
+    is_text = F.coalesce(F.col(parser) == "text", F.lit(False))
+    out = df.withColumns({"_text": F.when(~is_text, F.col(content)), "_data": F.col(data) if data else F.lit(None).cast("binary")})
+    out = with_local(out, "_parsed", PARSED, run, "_text", "_data", document_id, parser)
+    return out.withColumn("parsed", F.when(is_text, plain.parsed(content, document_id)).otherwise(F.col("_parsed"))).drop("_text", "_data", "_parsed")
 
 
 def _unknown(name: str, document_id: str):
@@ -46,7 +47,7 @@ def documents(df: DataFrame, content: str, data: str | None, registry: Registry
     metadata, error_code and error_details.
 
     A document with an error keeps its row, with null elements, chunks and relations, so nothing is lost. Errors come in the order of
-    the stages: no content, the parser's own, the chunker's, no elements, against the schema, against the parser's contract.
+    the stages: no content, a file that its parser doesn't take, the parser's own, the chunker's, no elements, against the schema, against the parser's contract.
     """
     registry = registry or built_in()
     routed = df.withColumn("parser_name", registry.route("path", parser))
@@ -59,9 +60,11 @@ def documents(df: DataFrame, content: str, data: str | None, registry: Registry
     declared = F.when(F.col("parser_name") == "fallback", F.array_union(declared, F.array(F.lit("pdf")))).otherwise(declared)
     broken = document_violations(F.col("source_type"), F.lit(SCHEMA_VERSIONS[-1]))
     out = out.withColumn("_broken", broken)
+    takes = F.create_map([x for c in registry.parsers.values() for x in (F.lit(c.name), F.array(*map(F.lit, c.extensions)))])[F.col("parser_name")]
     good = F.col("elements").isNotNull()
     code = F.coalesce(
         F.when(F.col("parsed").isNull(), "file_not_found"),
+        F.when(~F.array_contains(takes, T.extension("path")), "unsupported_type"),
         F.col("parsed.error.code"),
         F.when(good & F.col("chunks").isNull(), "chunker_failed"),
         F.when(F.size("elements") == 0, "no_extracted_elements"),

@@ -74,10 +74,18 @@ def test_pipeline_errors_keep_rows(spark):
     rows = [(1, "a.md", "# T\n\nx"), (2, "b.txt", "p\n\nq"), (3, "c.txt", None), (4, "d.html", "<p></p>"), (5, "e.ipynb", "{"), (6, "f.zip", "x"), (1, "a.md", "# T\n\nx")]
     df = pipeline.from_texts(spark.createDataFrame(rows, "id int, path string, text string"), "text", "path")
     got = sorted((r.id, r.error_code, r.elements and len(r.elements), r.chunks and len(r.chunks)) for r in pipeline.documents(df, "text", None).collect())
-    assert got == [(1, None, 2, 1), (1, None, 2, 1), (2, None, 2, 1), (3, "file_not_found", None, None), (4, "no_extracted_elements", None, None), (5, "ipynb_invalid_json", None, None), (6, "pdfplumber_unavailable", None, None)]
+    assert got == [(1, None, 2, 1), (1, None, 2, 1), (2, None, 2, 1), (3, "file_not_found", None, None), (4, "no_extracted_elements", None, None), (5, "ipynb_invalid_json", None, None), (6, "unsupported_type", None, None)]
     assert pipeline.documents(df.limit(0), "text", None).count() == 0
 
 
+def test_parsers_take_their_own_files_alone(spark):
+    rows = [(p, "# x\n\ny") for p in ("a.md", "b.markdown", "c.txt", "d.html", "e", "f.ipynb")]
+    df = pipeline.from_texts(spark.createDataFrame(rows, "path string, text string"), "text", "path")
+    by = lambda parser: {r.path[0] for r in pipeline.documents(df, "text", None, parser=parser).where("error_code is null").collect()}
+    assert [by(p) for p in ("markdown", "text", "html", "fallback", "auto")] == [{"a", "b"}, {"c"}, {"d"}, {"a"}, {"a", "b", "c", "d"}]
+    assert {r.error_code for r in pipeline.documents(df, "text", None, parser="ipynb").collect()} == {"unsupported_type", "ipynb_invalid_json"}
+
+
 def test_gates(spark, monkeypatch):
     """Documents against the schema or their parser's contract, and a chunker that fails, are errors of the document."""
     from docspark.operators import chunking

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import sys
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import geometry
 from docspark.functions.tables import linearize, pipe_cells, python_cells, python_linearize
-from docspark.parsers import docx, html, markdown, notebook, pages
+from docspark.parsers import docx, extracted, html, markdown, notebook, pages
 from docspark.parsers.base import guarded, parse_column
 
 
@@ -193,6 +194,47 @@ def test_page_composition(spark):
     assert len(got["d"].elements) == 8 and got["e"] is None
 
 
+def test_pages_of_a_library(monkeypatch):
+    """What pdfplumber says of a page is composed to elements; what it can't open is an error of the document."""
+    from types import SimpleNamespace as Has
+
+    class Pdf:
+        def __init__(self, data):
+            if data.read() != b"%PDF good":
+                raise ValueError("no PDF")
+            table = Has(bbox=(0, 200, 200, 240), cells=[(x, y, x + 100, y + 20) for y in (200, 220) for x in (0, 100)] + [None], extract=lambda: [["a", "b"], ["c", None]])
+            words = [word(t, x, y) for t, x, y in (("Tides", 0, 0), ("a", 5, 205), ("b", 105, 205), ("c", 5, 225), ("d", 105, 225))]
+            image = {"x0": 300, "x1": 350, "top": 0, "bottom": 50, "tag": "Im1"}
+            page = Has(width=600, height=800, extract_words=lambda **_: words, find_tables=lambda: [table], images=[image], curves=[{"x0": 300, "x1": 420, "top": 500, "bottom": 640}], rects=[], lines=[{"x0": 0, "x1": 9, "top": 5, "bottom": 5}])
+            self.pages = [page, page]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", Has(open=Pdf))
+    out = pages.parse(b"%PDF good", "d")
+    assert [(e["type"], e["source_locator"]["page"]) for e in out.elements] == [(t, n) for n in (1, 2) for t in ("heading", "table", "image", "image")]
+    assert guarded(pages.parse)(b"%PDF bad", "d")["error"]["code"] == "pdfplumber_open_failed"
+
+
+def test_text_of_a_library(monkeypatch):
+    from types import SimpleNamespace as Has
+
+    def extract(data, mime):
+        if b"bad" in data:
+            raise ValueError("bad")
+        return Has(content=f"Tides\n\n{mime[:15]} ebbs.", tables=[Has(markdown="| a |\n| - |")])
+
+    assert guarded(extracted.parse)(b"%PDF", "d")["error"]["code"] == "kreuzberg_unavailable"
+    monkeypatch.setitem(sys.modules, "kreuzberg", Has(extract_bytes_sync=extract))
+    out = extracted.parse(b"%PDF", "d")
+    assert flat(out) == [("heading", "Tides"), ("paragraph", "application/pdf ebbs."), ("table", "| a |\n| - |")] and [w["code"] for w in out.warnings] == ["kreuzberg_pdf_no_bbox"]
+    assert extracted.parse(b"PK", "d").elements[2]["source_locator"]["paragraph_index"] == 2 and guarded(extracted.parse)(b"bad", "d")["error"]["code"] == "kreuzberg_extract_failed"
+
+
 def test_gate_is_that_of_columns(spark):
     rnd, rows = random.Random(3), []
     some = lambda n: [[x, y, x + rnd.randrange(1, 150), y + rnd.randrange(1, 150)] for x, y in ((float(rnd.randrange(80)), float(rnd.randrange(80))) for _ in range(n))]
