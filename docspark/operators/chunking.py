@@ -131,15 +131,17 @@ def pack(elements: list[dict] | None, document_id: str, source_type: str | None,
     return chunks
 
 
+def packed(elements: list[dict] | None, document_id: str, source_type: str | None, limit: int) -> list[dict] | None:
+    """`pack`, with null for a document that can't be chunked."""
+    try:
+        return pack(elements, document_id, source_type, limit)
+    except Exception:  # noqa: BLE001 - a document must not end the job
+        return None
+
+
 def chunk(df: DataFrame, elements: str, document_id: str, source_type: str, limit: int = 800) -> DataFrame:
     """`df` with `chunks`, null for a document that can't be chunked (`chunker_failed`); a limit under 32 is an error."""
     if limit < 32:
         raise ValueError("the limit must be 32 at least")
 
-    def run(items: list[dict] | None, document: str, kind: str | None) -> list[dict] | None:
-        try:
-            return pack(items, document, kind, limit)
-        except Exception:  # noqa: BLE001 - a document must not end the job
-            return None
-
-    return with_local(df, "chunks", f"array<{CHUNK}>", run, elements, document_id, source_type)
+    return with_local(df, "chunks", f"array<{CHUNK}>", lambda e, d, s: packed(e, d, s, limit), elements, document_id, source_type)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators.chunking import chunk
+from docspark.operators.chunking import packed
 from docspark.operators.relations import within
 from docspark.operators.validation import contract_ok, document_violations, shown
 from docspark.parsers import text as plain
 from docspark.parsers.base import guarded
 from docspark.plans.local import with_local
 from docspark.registry import Registry, built_in
-from docspark.types import PARSED, RELATION, SCHEMA_VERSIONS
+from docspark.types import CHUNK, PARSED, RELATION, SCHEMA_VERSIONS
 
 
 def parse(df: DataFrame, content: str, data: str | None, document_id: str, parser: str, registry: Registry | None = None) -> DataFrame:
@@ -25,15 +25,16 @@ def parse(df: DataFrame, content: str, data: str | None, document_id: str, parse
     functions = {n: guarded(c.parse) for n, c in (registry or built_in()).parsers.items() if c.parse}
 
     def run(text: str | None, raw: bytes | None, document: str, name: str | None) -> dict | None:
+        if name == "text":
+            return None
         if name not in functions:
             return guarded(_unknown)(name or "", document)
         return functions[name](bytes(raw) if name in ("fallback", "kreuzberg") and raw is not None else text, document)
 
-    # one pass: rows of plain text are expressions, and reach Python without their content
-    is_text = F.coalesce(F.col(parser) == "text", F.lit(False))
-    out = df.withColumns({"_text": F.when(~is_text, F.col(content)), "_data": F.col(data) if data else F.lit(None).cast("binary")})
-    out = with_local(out, "_parsed", PARSED, run, "_text", "_data", document_id, parser)
-    return out.withColumn("parsed", F.when(is_text, plain.parsed(content, document_id)).otherwise(F.col("_parsed"))).drop("_text", "_data", "_parsed")
+    # one pass for all parsers; plain text is expressions
+    out = df if data else df.withColumn("_data", F.lit(None).cast("binary"))
+    out = with_local(out, "_parsed", PARSED, run, content, data or "_data", document_id, parser, keep=df.columns)
+    return out.withColumn("parsed", F.when(F.col(parser) == "text", plain.parsed(content, document_id)).otherwise(F.col("_parsed"))).drop("_parsed")
 
 
 def _unknown(name: str, document_id: str):
@@ -52,29 +53,30 @@ def documents(df: DataFrame, content: str, data: str | None, registry: Registry
     registry = registry or built_in()
     routed = df.withColumn("parser_name", registry.route("path", parser))
     parsed = parse(routed, content, data, "document_id", "parser_name", registry)
-    # from here on the row has what a document has, nothing that only a failed one has
-    parsed = parsed.withColumn("elements", F.when(F.col("parsed.error").isNull(), F.col("parsed.elements")))
-    out = chunk(parsed, "elements", "document_id", "source_type", limit)
-    out = with_local(out, "relations", f"array<{RELATION}>", related, "elements", "source_type")
+    # from here on the row has what a document has, nothing that only a failed one has, and each part once
+    parts = {"elements": F.when(F.col("parsed.error").isNull(), F.col("parsed.elements")), "warnings": F.col("parsed.warnings"), "metadata": F.col("parsed.metadata"), "_error": F.col("parsed.error"), "_absent": F.col("parsed").isNull()}
+    out = parsed.withColumns(parts).drop("parsed")
+    more = f"struct<chunks:array<{CHUNK}>,relations:array<{RELATION}>>"
+    out = with_local(out, "_more", more, lambda e, d, s: {"chunks": packed(e, d, s, limit), "relations": related(e, s)} if e else None, "elements", "document_id", "source_type")
+    out = out.withColumns({"chunks": F.col("_more.chunks"), "relations": F.col("_more.relations")}).drop("_more")
     declared = F.create_map([x for c in registry.parsers.values() for x in (F.lit(c.name), F.array(*map(F.lit, c.source_types)))])[F.col("parser_name")]
     declared = F.when(F.col("parser_name") == "fallback", F.array_union(declared, F.array(F.lit("pdf")))).otherwise(declared)
     broken = document_violations(F.col("source_type"), F.lit(SCHEMA_VERSIONS[-1]))
     out = out.withColumn("_broken", broken)
     takes = F.create_map([x for c in registry.parsers.values() for x in (F.lit(c.name), F.array(*map(F.lit, c.extensions)))])[F.col("parser_name")]
-    good = F.col("elements").isNotNull()
     code = F.coalesce(
-        F.when(F.col("parsed").isNull(), "file_not_found"),
+        F.when(F.col("_absent"), "file_not_found"),
         F.when(~F.array_contains(takes, T.extension("path")), "unsupported_type"),
-        F.col("parsed.error.code"),
-        F.when(good & F.col("chunks").isNull(), "chunker_failed"),
+        F.col("_error.code"),
+        F.when((F.size("elements") > 0) & F.col("chunks").isNull(), "chunker_failed"),
         F.when(F.size("elements") == 0, "no_extracted_elements"),
         F.when(F.size("_broken") > 0, "schema_validation_failed"),
         F.when(~contract_ok(F.col("source_type"), F.transform("elements", lambda e: e["source_locator"]["family"]), declared), "parser_contract_mismatch"),
     )
-    details = F.when(F.col("error_code") == "schema_validation_failed", F.to_json(shown(F.col("_broken")))).otherwise(F.col("parsed.error.details"))
+    details = F.when(F.col("error_code") == "schema_validation_failed", F.to_json(shown(F.col("_broken")))).otherwise(F.col("_error.details"))
     out = out.withColumn("error_code", code).withColumn("error_details", details)
     keep = lambda c: F.when(F.col("error_code").isNull(), F.col(c))
-    return out.withColumns({c: keep(c) for c in ("elements", "chunks", "relations")}).withColumns({"warnings": F.col("parsed.warnings"), "metadata": F.col("parsed.metadata")}).drop("parsed", "_broken")
+    return out.withColumns({c: keep(c) for c in ("elements", "chunks", "relations")}).drop("_error", "_absent", "_broken")
 
 
 def related(elements: list[dict] | None, source_type: str | None) -> list[dict] | None:

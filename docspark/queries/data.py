@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import drift, hierarchy, nesting, references
 from docspark.plans.lineage import Cuts
-from docspark.sources.tables import earliest, table
+from docspark.sources.tables import earliest, spread, table
 
 NESTED = (("elements", "element_id", "source_locator"),)
 LONE = ("source_spans", "cells", "runs", "notes", "replies")
@@ -15,7 +15,7 @@ PARSED = (("elements", "metadata"),)
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "raw_docs").where("payload is not null")
+    raw = spread(table(spark, folder, "raw_docs")).where("payload is not null")
     return raw.select("raw_id", "feed", F.col("run_no").alias("run"), "received_at", F.expr("try_parse_json(payload)").alias("v")).where("v is not null")
 
 
@@ -122,7 +122,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    return nesting.flatten(table(spark, folder, "raw_docs"), "raw_id", "payload", LONE, PARSED)
+    return nesting.flatten(spread(table(spark, folder, "raw_docs")), "raw_id", "payload", LONE, PARSED)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

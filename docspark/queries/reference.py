@@ -15,7 +15,7 @@ from docspark.parsers.base import parse_column
 from docspark.plans.local import with_local
 from docspark.registry import built_in
 from docspark.sources.files import collisions
-from docspark.sources.tables import earliest, table
+from docspark.sources.tables import earliest, spread, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -173,7 +173,7 @@ def table_linearize(spark: SparkSession, folder: str) -> DataFrame:
 def _markdown(spark: SparkSession, folder: str) -> DataFrame:
     """The texts as Markdown: their numbered headings get the mark of a heading."""
     marked = F.regexp_replace("text", r"(^|\n)([0-9])\.([0-9]) ", "$1## $2.$3 ")
-    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", marked.alias("text"), F.concat(F.lit("d"), "doc_id").alias("d"))
+    rows = spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", marked.alias("text"), F.concat(F.lit("d"), "doc_id").alias("d"))
     parsed = parse_column(rows, "text", "d", markdown.parse, keep=["doc_id"])
     return parsed.select("doc_id", F.explode("parsed.elements").alias("e")).select("doc_id", "e.*")
 
@@ -227,7 +227,7 @@ def _page(text: str) -> F.Column:
 @query(f"""WITH l AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS s FROM documents WHERE text IS NOT NULL))
 SELECT doc_id, CAST(n AS INT) AS line, md5({_strip('s')}) AS content FROM l WHERE {_strip('s')} <> ''""")
 def html_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", _page("text").alias("page"), F.concat(F.lit("d"), "doc_id").alias("d"))
+    rows = spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", _page("text").alias("page"), F.concat(F.lit("d"), "doc_id").alias("d"))
     parsed = parse_column(rows, "page", "d", html.parse, keep=["doc_id"]).select("doc_id", F.explode("parsed.elements").alias("e"))
     return parsed.select("doc_id", F.col("e.source_locator.line").alias("line"), F.md5("e.content").alias("content"))
 
@@ -237,7 +237,7 @@ SELECT doc_id, 1, 'raw', md5(source) FROM documents WHERE text IS NOT NULL""")
 def notebook_cells(spark: SparkSession, folder: str) -> DataFrame:
     cells = F.array(F.struct(F.lit("code").alias("cell_type"), F.col("text").alias("source")), F.struct(F.lit("raw").alias("cell_type"), F.col("source").alias("source")))
     book = F.to_json(F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), cells.alias("cells")))
-    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", book.alias("book"), F.concat(F.lit("d"), "doc_id").alias("d"))
+    rows = spread(table(spark, folder, "documents")).where("text is not null").select("doc_id", book.alias("book"), F.concat(F.lit("d"), "doc_id").alias("d"))
     parsed = parse_column(rows, "book", "d", notebook.parse, keep=["doc_id"]).select("doc_id", F.explode("parsed.elements").alias("e"))
     return parsed.select("doc_id", "e.source_locator.cell_index", "e.source_locator.cell_type", F.md5("e.content").alias("content"))
 
@@ -266,7 +266,7 @@ def notebook_markdown(spark: SparkSession, folder: str) -> DataFrame:
     second = F.concat(F.lit("| source | lang |\n|---|---|\n| "), "source", F.lit(" | x |"))
     cells = F.array(*[F.struct(F.lit("markdown").alias("cell_type"), c.alias("source")) for c in (first, second)])
     book = F.to_json(F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), cells.alias("cells")))
-    rows = table(spark, folder, "documents").select("doc_id", book.alias("book"), F.concat(F.lit("d"), "doc_id").alias("d"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", book.alias("book"), F.concat(F.lit("d"), "doc_id").alias("d"))
     parsed = parse_column(rows, "book", "d", notebook.parse, keep=["doc_id"]).select("doc_id", F.explode("parsed.elements").alias("e"))
     return parsed.select("doc_id", "e.source_locator.cell_index", "e.type", "e.source_locator.line", "e.source_locator.section_path", "e.content")
 
@@ -275,7 +275,7 @@ def notebook_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", "text", F.concat(F.lit("in/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")).alias("path"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", "text", F.concat(F.lit("in/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")).alias("path"))
     return pipeline.documents(pipeline.from_texts(rows, "text", "path"), "text", None)
 
 
@@ -293,7 +293,7 @@ def pipeline_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT doc_id, CAST(length({_squeeze('text')}) AS BIGINT) AS visible FROM documents WHERE text IS NOT NULL AND {_strip('text')} <> ''")
 def chunk_preservation(spark: SparkSession, folder: str) -> DataFrame:
     """Of each document, read as plain text, the visible characters that its chunks hold."""
-    texts = table(spark, folder, "documents").select("doc_id", "text", F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("path"))
+    texts = spread(table(spark, folder, "documents")).select("doc_id", "text", F.concat(F.lit("in/"), "doc_id", F.lit(".txt")).alias("path"))
     rows = pipeline.documents(pipeline.from_texts(texts, "text", "path"), "text", None).where("chunks is not null")
     return rows.select("doc_id", F.length(T.squeeze(F.array_join("chunks.text", " "))).cast("long").alias("visible"))
 
@@ -302,7 +302,7 @@ def chunk_preservation(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_preservation_all(spark: SparkSession, folder: str) -> DataFrame:
     """Of every document, read as plain text and as Markdown, the visible characters of its elements and of its chunks."""
     path = F.explode(F.array(*[F.concat(F.lit("in/"), "doc_id", F.lit(e)) for e in (".txt", ".md")])).alias("path")
-    rows = pipeline.documents(pipeline.from_texts(table(spark, folder, "documents").select("doc_id", "text", path), "text", "path"), "text", None)
+    rows = pipeline.documents(pipeline.from_texts(spread(table(spark, folder, "documents")).select("doc_id", "text", path), "text", "path"), "text", None)
     visible = lambda c: F.length(T.squeeze(F.array_join(c, " "))).cast("long")
     return rows.where("chunks is not null").select("doc_id", "source_type", visible("elements.content").alias("in_elements"), visible("chunks.text").alias("in_chunks"))
 

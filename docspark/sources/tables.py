@@ -11,6 +11,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores, for steps that compute much on each row.
+
+    A scan of few small files has few partitions, each of a split at most, so that what is shuffled here is bounded by a split for each
+    core; larger tables have more partitions than cores and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def earliest(df: DataFrame, key: str, columns: list[str], at: str = "recorded_at") -> DataFrame:
     """One row for each `key`: the values of `columns` in the row with the earliest `at`.
 

@@ -100,8 +100,8 @@ def test_gates(spark, monkeypatch):
     r.register(capability(name="own", extensions=(".x",), source_types=("xx",), parse=parse))
     rows = [(n, f"{n}.x", t) for n, t in enumerate(["fine", "empty", "line", "sure", "family", "break"])]
     df = pipeline.from_texts(spark.createDataFrame(rows, "id int, path string, text string"), "text", "path").withColumn("source_type", F.lit("xx"))
-    real = chunking.pack
-    monkeypatch.setattr(chunking, "pack", lambda e, *more: 1 / 0 if e and e[0]["content"] == "break" else real(e, *more))
+    real = chunking.packed
+    monkeypatch.setattr(pipeline, "packed", lambda e, *more: real([{"content": 1}] if e[0]["content"] == "break" else e, *more))
     got = {r.text: (r.error_code, r.elements is None, r.error_details) for r in pipeline.documents(df, "text", None, r).collect()}
     assert {k: v[0] for k, v in got.items()} == {"fine": None, "empty": "schema_validation_failed", "line": "schema_validation_failed", "sure": "schema_validation_failed", "family": None, "break": "chunker_failed"}
     assert "confidence.range" in got["sure"][2] and got["sure"][1] and not got["fine"][1]
