@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import lookalike, markup, packing, splitting, tokenizer, truncation
 from docspark.plans.lineage import Cuts
-from docspark.sources.tables import earliest, table
+from docspark.sources.tables import earliest, spread, table
 
 
 #: Tokens of a container where size_limits has no row for it.
@@ -20,12 +20,12 @@ def _capacity(spark: SparkSession, folder: str) -> int:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenizer.encode(table(spark, folder, "documents"), "doc_id", "text")
+    return tokenizer.encode(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Each document, or piece of a document over the capacity, and its container."""
-    counts = Cuts(spark).cut(tokenizer.count_tokens(table(spark, folder, "documents"), "doc_id", "text"))  # read twice below
+    counts = Cuts(spark).cut(tokenizer.count_tokens(spread(table(spark, folder, "documents")), "doc_id", "text"))  # read twice below
     out = packing.pack(counts, "doc_id", "n_tokens", _capacity(spark, folder))
     return out.select("doc_id", F.col("piece").cast("int").alias("piece"), F.col("first").alias("first_token"), F.col("n").alias("n_tokens"), F.col("container").alias("container_id"))
 
@@ -38,7 +38,7 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _truncated(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.truncated(table(spark, folder, "documents"), "doc_id", "text", "lang", "source")
+    return truncation.truncated(spread(table(spark, folder, "documents")), "doc_id", "text", "lang", "source")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +62,7 @@ def _tie(*columns: str) -> F.Column:
 def _prose(spark: SparkSession, folder: str) -> DataFrame:
     code = F.coalesce(F.get_json_object("metadata", "$.kind") == "code_block", F.lit(False))
     counts = (F.coalesce("type", F.lit("")) != "table") & ~code
-    rows = table(spark, folder, "elements").withColumn("counts", counts)
+    rows = spread(table(spark, folder, "elements")).withColumn("counts", counts)
     return rows.select("element_id", "recorded_at", _tie("type", "metadata", "content").alias("tie"), "counts", F.when(F.col("counts"), F.col("content")).alias("content"))
 
 
@@ -115,8 +115,8 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def _looks(spark: SparkSession, folder: str) -> DataFrame:
     """(item_kind, id, look, stored) of the earliest row of each element and chunk with a text."""
-    elements = table(spark, folder, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("id"), "recorded_at", F.col("content").alias("text"))
-    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("id"), "recorded_at", "text")
+    elements = spread(table(spark, folder, "elements")).select(F.lit("element").alias("item_kind"), F.col("element_id").alias("id"), "recorded_at", F.col("content").alias("text"))
+    chunks = spread(table(spark, folder, "chunks")).select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("id"), "recorded_at", "text")
     rows = lookalike.looks(elements.unionByName(chunks), ["item_kind", "id", "recorded_at"], "text")  # hashes are shuffled, texts aren't
     first = F.min(F.struct(F.col("recorded_at").isNull(), "recorded_at", "look", "stored")).alias("r")  # rows without a time come last
     return rows.where("id is not null").groupBy("item_kind", "id").agg(first).select("item_kind", "id", "r.look", "r.stored").where("look is not null")
@@ -133,8 +133,8 @@ def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored row of elements and chunks in the consistent form."""
-    elements = table(spark, folder, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "recorded_at", F.col("content").alias("text"))
-    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "recorded_at", "text")
+    elements = spread(table(spark, folder, "elements")).select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "recorded_at", F.col("content").alias("text"))
+    chunks = spread(table(spark, folder, "chunks")).select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "recorded_at", "text")
     return lookalike.consistent(elements.unionByName(chunks), ["item_kind", "item_id", "recorded_at"], "text")
 
 
