@@ -33,13 +33,14 @@ def parent_rows(df: DataFrame, key: str, parent: str, at: str | None) -> DataFra
 
 
 def _cyclic(nodes: DataFrame, cuts: Cuts) -> DataFrame:
-    """(v, p, j): the rows whose path never ends; j is an ancestor on the cycle."""
+    """(v, p, j): the rows whose path never ends; j is an ancestor on the cycle. A table joined with itself is merged, not broadcast,
+    as it grows with the data."""
     live = cuts.cut(nodes.where("p is not null").select("v", "p", F.col("p").alias("j")))
     before = -1
     while (count := live.count()) and count != before:
         before = count
         step = live.select(F.col("v").alias("j"), F.col("j").alias("jj"))
-        after = cuts.cut(live.join(step, "j").select("v", "p", F.col("jj").alias("j")))
+        after = cuts.cut(live.join(step.hint("merge"), "j").select("v", "p", F.col("jj").alias("j")))
         cuts.drop(live)
         live = after
     if not count:
@@ -48,7 +49,7 @@ def _cyclic(nodes: DataFrame, cuts: Cuts) -> DataFrame:
     while (now := live.select("j").distinct().count()) != image:  # the image of the jump shrinks until it is the cycles
         image = now
         step = live.select(F.col("v").alias("j"), F.col("j").alias("jj"))
-        after = cuts.cut(live.join(step, "j").select("v", "p", F.col("jj").alias("j")))
+        after = cuts.cut(live.join(step.hint("merge"), "j").select("v", "p", F.col("jj").alias("j")))
         cuts.drop(live)
         live = after
     return live
@@ -56,7 +57,7 @@ def _cyclic(nodes: DataFrame, cuts: Cuts) -> DataFrame:
 
 def _inner(nodes: DataFrame) -> DataFrame:
     """The rows of (v, p) that have children."""
-    return nodes.join(nodes.where("p is not null").select(F.col("p").alias("v")).distinct(), "v", "left_semi")
+    return nodes.join(nodes.where("p is not null").select(F.col("p").alias("v")).distinct().hint("merge"), "v", "left_semi")
 
 
 def cycles(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
@@ -66,11 +67,11 @@ def cycles(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """
     cuts = cuts or Cuts(nodes.sparkSession)
     led = _cyclic(cuts.cut(_inner(nodes)), cuts)
-    on = led.join(led.select(F.col("j").alias("v")).distinct(), "v", "left_semi")
+    on = led.join(led.select(F.col("j").alias("v")).distinct().hint("merge"), "v", "left_semi")
     ring = cuts.cut(on.select("v", F.col("p").alias("j"), F.least("v", "p").alias("m"), F.lit(True).alias("changed")))
     while not ring.where("changed").isEmpty():
         step = ring.select(F.col("v").alias("j"), F.col("j").alias("jj"), F.col("m").alias("mm"))
-        after = cuts.cut(ring.join(step, "j").select("v", F.col("jj").alias("j"), F.least("m", "mm").alias("m"), (F.col("mm") < F.col("m")).alias("changed")))
+        after = cuts.cut(ring.join(step.hint("merge"), "j").select("v", F.col("jj").alias("j"), F.least("m", "mm").alias("m"), (F.col("mm") < F.col("m")).alias("changed")))
         cuts.drop(ring)
         ring = after
     ids = ring.select("v", F.col("m").alias("cycle_id"))
