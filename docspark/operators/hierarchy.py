@@ -143,14 +143,15 @@ def labels(nodes: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     below = leaves.join(above, "p").select("v", "p", "root", (F.col("d") + 1).alias("depth"), F.lit(1).cast("long").alias("size"), F.when(goes_on, F.col("h")).otherwise(F.col("v")).alias("head"), F.when(goes_on, F.col("a") + 1).otherwise(F.lit(0)).alias("at"), F.lit(False).alias("inner"))
     alone = leaves.join(inner.select(F.col("v").alias("p")), "p", "left_anti").select("v", F.lit(None).cast("string").alias("p"), F.col("v").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"), F.col("v").alias("head"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("inner"))
     rows = cuts.cut(_union([chained, below, alone]))
-    # the other siblings, summed in hashed buckets so that a parent of very many children is no single task
-    light = rows.where("p is not null and at = 0").select("v", "p", "root", "depth", "size", "inner").join(heavy.select("p", "heavy_size", "children"), "p")
-    light = light.withColumn("b", F.pmod(F.xxhash64("v"), F.ceil(F.col("children") / SIBLINGS)))
+    # the other siblings, summed in hashed buckets so that a parent of very many children is no single task; few parents have several
+    facts = heavy.select("p", "heavy_size", "children")
+    light = rows.where("p is not null and at = 0").select("v", "p", "root", "depth", "size", "inner")
+    bucket = F.pmod(F.xxhash64("v"), F.ceil(F.col("children") / SIBLINGS))
     inside = F.sum("size").over(Window.partitionBy("p", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    totals = light.groupBy("p", "b").agg(F.sum("size").alias("s"))
+    totals = light.join(facts.where(F.col("children") > SIBLINGS), "p").withColumn("b", bucket).groupBy("p", "b").agg(F.sum("size").alias("s"))
     ahead = F.sum("s").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("p", "b", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    hung = light.withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, ["p", "b"])
+    hung = light.join(facts, "p").withColumn("b", bucket).withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, ["p", "b"], "left").withColumn("ahead", F.coalesce("ahead", F.lit(0)))
     hung = cuts.cut(hung.select(F.col("v").alias("head"), F.col("p").alias("hook"), (1 + F.col("heavy_size") + F.col("ahead") + F.col("inside")).alias("skip"), "root", "depth", "size", "inner"))
     return rows, hung
 
