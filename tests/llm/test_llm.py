@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.llm import lookalike, markup, packing, splitting, tokenizer, truncation
+from docspark.plans.lineage import Cuts
 
 VOCABULARY = f"{tokenizer.FOLDER}/{tokenizer.VOCABULARY}"
 ODD = ["", " ", "  ", "\n", "a  b\t \n c", "　x", "a ", " a", "don't  \r\n it's", "é́ 🙂🙂 x²½ \u200d", "<|endoftext|> x", "a" * 300, "中文。没有空格，很长", "\x00\x1f", "x\n y\n\nz \n", "a\u00a0b c"]
@@ -446,3 +447,49 @@ def test_nothing_is_cut_without_the_model(spark):
     assert truncation.truncated(df, "doc_id", "text", "lang", "source", m).where("cut").count() >= 12
     long = spark.createDataFrame([(1, "The sheet opens. " * 20_000, "en", "s"), (2, "x" * 200_000, None, None), (3, "\ud83d".encode("utf-8", "replace").decode(), "en", "s")], "doc_id long, text string, lang string, source string")
     assert truncation.truncated(long, "doc_id", "text", "lang", "source").count() == 3
+
+
+def test_counts_of_many_lines_against_each_position():
+    """What is counted at once is what `training` says of each position, whatever stands in the lines."""
+    texts = ["One. Two three\n- a, b\n```\nx\n```\nlast", "a\0b c\n\0\0x y.\nend", "_ a_b. __c (x). ”)\n第 3 页，共 9 页\nYours, 2024-01-02\nPage 3 of 12\nfin", "He said (\"yes.”) 12.)34 ok。。a ok.）x\n| a | b |\n| - | - |\n| c\\| | d |\n|\nz"]
+    texts += ["".join(chr(c) for c in range(1, 0x3000) if c != 10) + "\nq", "The sheet opens. " * 100 + "\nend", ""]
+    want: dict[int, list[int]] = {}
+    for h, ends, stops in (x for t in texts for x in truncation.training(t)):
+        for row in h.tolist():
+            for key, e, s in zip(row, ends.tolist(), stops.tolist(), strict=True):
+                want[key] = [a + b for a, b in zip(want.get(key, [0, 0, 0]), (1, e, s), strict=True)]
+    got: dict[int, list[int]] = {}
+    for _, h, *counts in truncation.counted(iter(texts)):
+        for key, *x in zip(h.tolist(), *(c.tolist() for c in counts), strict=True):
+            got[key] = [a + b for a, b in zip(got.get(key, [0, 0, 0]), x, strict=True)]
+    assert got == want
+
+
+def test_the_model_is_that_of_all_texts(spark):
+    """Each text is in the model, of a language with many texts too, and each score is the one that the counts of all texts give; a line
+    end's without the position itself."""
+    df = prose(spark, 1500)
+    texts = [r.text for r in df.collect()]
+    model = truncation.fit(df, "doc_id", "text", "lang")
+    assert model.n.sum() == sum(h.size for t in texts for h, _, _ in truncation.training(t))
+    cuts = Cuts(spark)
+    rows = cuts.cut(truncation.contexts(df, "doc_id", "text", "lang", F.lit("s")))
+    scored = truncation.scored(rows, df.select("text"), cuts)
+    got = {r.key: (r.ends, r.letter, r.stops) for r in scored.where("n is null").collect()}
+    asked = {r.key: r for r in rows.where("what = 'text'").collect()}
+    keys = sorted(asked)
+    h, low = (np.array([[r[c + str(k)] for r in (asked[x] for x in keys)] for k in (0, *truncation.ORDERS)]).view(np.uint64) for c in "hl")
+    want = zip(model.log_odds(h).tolist(), model.log_odds(low).tolist(), model.log_odds(low, "stops").tolist(), strict=True)
+    assert len(got) == 1500 and all(got[k] == pytest.approx(x) for k, x in zip(keys, want, strict=True))
+    lone = rows.where("what = 'ends'").collect()
+    h, n = np.array([[r[f"h{k}"] for r in lone] for k in (0, *truncation.ORDERS)]).view(np.uint64), np.array([r.n for r in lone])
+    p = np.full(len(n), truncation.BASE)
+    for row in h:
+        i = np.searchsorted(model.keys, row)
+        assert (model.keys[i] == row).all()
+        p = (model.counts["ends"][i] - 1 + truncation.BACKOFF * p) / (model.n[i] - 1 + truncation.BACKOFF)
+    steps: dict[int, int] = {}
+    for step, k in zip(np.floor(np.log((x := np.clip(p, 1e-12, 1 - 1e-12)) / (1 - x)) / truncation.STEP).astype(int).tolist(), n.tolist(), strict=True):
+        steps[step] = steps.get(step, 0) + k
+    counts = {r.step: r.n for r in scored.where("n is not null and what = 'ends'").groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    assert sum(counts.values()) == sum(len(list(truncation.lines(t))) - 1 for t in texts) and counts == steps
